@@ -34,7 +34,7 @@ PER_LANGUAGE = 400
 MAX_LANGUAGES = 64
 CLUSTERS = 4
 #: The floor for rejection is this share of the smallest cosine that a sample text has with its own language.
-FLOOR_SHARE = 0.5
+FLOOR_SHARE = 0.2
 BLOCK = 1 << 19
 UNKNOWN = "und"
 
@@ -177,19 +177,20 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, columns in carry, lang_pred, score, rejected) of each row. The model has a fixed largest size."""
-    source = docs.select(docs[id_col], *[docs[c] for c in carry], docs[text_col].alias("_text"))
-    kept = [f for f in source.schema.fields if f.name != "_text"]
+    carried = dict.fromkeys([id_col, *carry])
+    source = docs.select(*[docs[c].alias(f"in_{c}") for c in carried], *([] if text_col in carried else [docs[text_col].alias(f"in_{text_col}")]))
+    kept = [T.StructField(c, docs.schema[c].dataType) for c in carried]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
-        for part in text_chunks(batches, "_text"):
-            texts = part.column("_text").to_pylist()
+        for part in text_chunks(batches, f"in_{text_col}"):
+            texts = part.column(f"in_{text_col}").to_pylist()
             found = [fitted.predict(trigram_counts(texts[i : i + 128])) for i in range(0, len(texts), 128)]
             named = pa.array([x for names, _, _ in found for x in names], pa.string())
             score = pa.array(np.concatenate([s for _, s, _ in found]), pa.float64())
             gone = pa.array(np.concatenate([r for _, _, r in found]), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], named, score, gone], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*[part.column(f"in_{f.name}") for f in kept], named, score, gone], names=schema.names)
 
     return source.mapInArrow(run, schema)
