@@ -69,7 +69,11 @@ def paths(nodes: DataFrame) -> DataFrame:
         if further.isEmpty():
             break
         jumps.append(further)
-    x, y = linked.alias("x"), linked.select("tree", F.col("up").alias("node")).where("node is not null").distinct().alias("y")
+    start = linked
+    if 2 ** (len(jumps) - 1) >= depth_limit > 0:  # only links along a cycle are as long as that
+        x, y = linked.alias("x"), jumps.pop().alias("y")
+        start = x.join(y, same("tree") & (F.col("x.node") == F.col("y.node")), "left_anti")
+    x, y = start.alias("x"), linked.select("tree", F.col("up").alias("node")).where("node is not null").distinct().alias("y")
     on_path = x.join(y, same("tree") & (F.col("x.node") == F.col("y.node")), "left_anti")
     on_path = on_path.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up_levels"))
     for k in range(len(jumps) - 1, -1, -1):

@@ -171,7 +171,10 @@ class Page:
         first, *others = value.replace("\r\n", "\n").split("\n")
         self.line += first
         for x in others:
-            self.lines.append(self.line.rstrip())
+            if self.line.strip():
+                self.end_line()
+            else:
+                self.lines.append("")
             self.line = x
 
     def end_line(self) -> None:
