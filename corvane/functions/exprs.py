@@ -277,11 +277,3 @@ def sentence_context(text: Column, start: Column, length: Column) -> Column:
         return F.when(h["hit"] < 0, none).otherwise(F.struct(item(-1).alias("before"), item(0).alias("current"), item(1).alias("after")))
 
     return F.transform(held, pick)[0]
-
-
-def minhash(items: Column, permutations: int) -> Column:
-    """Least hash of any item under each of so many seeds."""
-    seeds = F.sequence(F.lit(0), F.lit(permutations - 1))
-    # As a lambda's argument the items are made once, not once for each seed.
-    return F.transform(F.array(items), lambda held: F.transform(seeds, lambda i: F.array_min(F.transform(held, lambda s: F.xxhash64(s, i)))))[0]
-

@@ -45,7 +45,9 @@ def banded_pairs(sets: DataFrame, least: float = 0.75) -> DataFrame:
 
     Equal signatures are joined once, as one class with the smallest id.
     """
-    signed = sets.select("id", X.minhash(F.col("shingles"), PERMUTATIONS).alias("sig"))
+    hashed = sets.select("id", F.explode("shingles").alias("s")).select("id", F.xxhash64("s").alias("h"))
+    least_hashes = F.array(*[F.min(F.xxhash64("h", F.lit(i))) for i in range(PERMUTATIONS)])
+    signed = hashed.groupBy("id").agg(least_hashes.alias("sig"))
     classes = signed.groupBy("sig").agg(F.min("id").alias("id"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(F.col("sig"), b * ROWS + 1, ROWS)))
     posted = classes.select("id", "sig", F.explode(bands).alias("band"))

@@ -375,7 +375,8 @@ def language_purity(spark: SparkSession, d: str) -> DataFrame:
     """Words in documents whose stop words point to another language than the one stated."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0))
     rows = table(spark, d, "documents").select("lang", words.alias("w")).where(F.size("w") >= 6)
-    hits = F.array(*[F.struct(F.size(F.filter("w", lambda x, ws=ws: x.isin(ws))).alias("n"), F.lit(-i).alias("early"), F.lit(k).alias("lang")) for i, (k, ws) in enumerate(STOP_WORDS.items())])
+    among = lambda known: F.size(F.filter("w", lambda x: x.isin(known)))
+    hits = F.array(*[F.struct(among(known).alias("n"), F.lit(-i).alias("early"), F.lit(lang).alias("lang")) for i, (lang, known) in enumerate(STOP_WORDS.items())])
     guessed = rows.select("lang", F.size("w").cast("long").alias("n"), F.array_max(hits).alias("best")).where("best.n > 0")
     odd = F.when(F.col("best.lang") != F.col("lang"), F.col("n")).otherwise(0)
     out = guessed.groupBy("lang").agg(F.count("*").alias("checked"), F.sum("n").alias("assessed"), F.sum(odd).alias("unexpected"))
