@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, materialize
 
 MIN_CHARS = 10
 HOT_SHARE = 500
@@ -46,10 +46,10 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return lines.where(F.length("key") >= min_chars).select("id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def hot_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> list[tuple[int, int]]:
-    """The at most HOT_SHARE keys that hold a large share of a sample's lines."""
-    drawn = docs.where(F.pmod(F.xxhash64(docs[id_col], F.lit("hot")), F.lit(HOT_SAMPLE)) == 0)
-    counted = keyed_lines(drawn, id_col, text_col, min_chars).groupBy("h1", "h2").count()
+def hot_keys(lines: DataFrame) -> list[tuple[int, int]]:
+    """The at most HOT_SHARE keys that hold a large share of the lines of a sample of documents."""
+    drawn = lines.where(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(HOT_SAMPLE)) == 0)
+    counted = drawn.groupBy("h1", "h2").count()
     total = counted.agg(F.sum("count")).first()[0] or 0
     if total < HOT_LEAST * 2:
         return []
@@ -60,8 +60,9 @@ def hot_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> lis
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, text_hash, words) of the documents that lose lines; words is array<struct<word int, bits long>>."""
     spark = docs.sparkSession
-    lines = keyed_lines(docs, id_col, text_col, min_chars)
-    hot = hot_keys(docs, id_col, text_col, min_chars)
+    # The range partitioner samples its input, and hot keys read it twice more: texts are split once.
+    lines = materialize(keyed_lines(docs, id_col, text_col, min_chars), "lines")
+    hot = hot_keys(lines)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = lines
     if hot:
