@@ -190,8 +190,13 @@ def nice_width(span: Column, bins: int) -> Column:
 
 def evenly(items: Column, cap: int) -> Column:
     """At most cap items at equal steps over the whole array."""
-    picked = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.element_at(items, F.floor(i * (F.size(items) / cap)).cast("int") + 1))
-    return F.when(F.size(items) <= cap, items).otherwise(picked)
+
+    def of(held: Column) -> Column:  # as a lambda's argument the items are made once, not once for each pick
+        at = lambda i: F.floor(i * (F.size(held) / cap)).cast("int") + 1
+        picked = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda i: F.element_at(held, at(i)))
+        return F.when(F.size(held) <= cap, held).otherwise(picked)
+
+    return F.transform(F.array(items), of)[0]
 
 
 SHINGLE_WORDS = 5

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +44,26 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return near.unionByName(copies.select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard")))
 
 
+def signatures(sets: DataFrame) -> DataFrame:
+    """(id, sig): least value of any shingle's hash under each of PERMUTATIONS odd multipliers, in numpy by Arrow batch."""
+    hashed = sets.select("id", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
+    factors = np.random.Generator(np.random.Philox(1)).integers(0, 2**62, PERMUTATIONS, dtype=np.int64) * 2 + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("hashes")
+            sigs = [(np.asarray(x.values)[:, None] * factors).min(axis=0) for x in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "sig"])
+
+    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, sig array<long>")
+
+
 def banded_pairs(sets: DataFrame, least: float = 0.75) -> DataFrame:
     """(id_a, id_b, estimate) of sets that agree in a band of their MinHash signature and in a share of it.
 
     Equal signatures are joined once, as one class with the smallest id.
     """
-    hashed = sets.select("id", F.explode("shingles").alias("s")).select("id", F.xxhash64("s").alias("h"))
-    least_hashes = F.array(*[F.min(F.xxhash64("h", F.lit(i))) for i in range(PERMUTATIONS)])
-    signed = hashed.groupBy("id").agg(least_hashes.alias("sig"))
+    signed = signatures(sets).persist()
     classes = signed.groupBy("sig").agg(F.min("id").alias("id"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(F.col("sig"), b * ROWS + 1, ROWS)))
     posted = classes.select("id", "sig", F.explode(bands).alias("band"))
