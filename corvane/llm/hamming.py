@@ -81,7 +81,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int, dimensions: int = 64, w
         for j, d in enumerate(apart):
             first = first & (d >= radius) & ((F.col("segment") <= j) | (d > radius))
         near = distance(q, w)
-        met = probes.join(posted, ["segment", "value"]).where(first & (near <= F.col("bound")))
+        # Spark doesn't see how many probes explode makes, and would broadcast them.
+        met = probes.hint("merge").join(posted, ["segment", "value"]).where(first & (near <= F.col("bound")))
         fresh = met.select(*[f"q{n}" for n in names], *names, "n", near.alias("distance"))
         found = materialize(fresh if found is None else found.unionByName(fresh), "found")
         upward = Window.partitionBy(*[f"q{n}" for n in names]).orderBy("distance", *names).rowsBetween(Window.unboundedPreceding, 0)
