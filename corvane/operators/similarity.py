@@ -24,10 +24,11 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
     Prefix filtering: shingles are put in order by how rare they are; two sets
     that are similar enough share one of the first n - ceil(percent * n / 100) + 1
-    of each. Equal sets are one class with the smallest id: pairs are between
+    of each. Shingles stand as 64-bit hashes. Equal sets are one class with the smallest id: pairs are between
     classes, and each copy has one pair with its class, so copies aren't multiplied.
     """
-    keyed = sets.withColumn("key", F.xxhash64(F.sort_array("shingles")))
+    hashed = sets.select("id", F.array_sort(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("shingles"))
+    keyed = hashed.withColumn("key", F.xxhash64("shingles")).persist()  # four branches read it; texts are cut once
     classes = keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles"))
     tokens = classes.select("id", F.explode("shingles").alias("token"))
     rare = tokens.groupBy("token").agg(F.count("*").alias("df"))
