@@ -6,16 +6,16 @@
    enough to merge, for each class, the postings of its COORDINATES - MATCHES + 1
    rarest pairs; the most frequent ones are skipped, and a class with that many
    pairs of its own can't match anything and goes at once.
-3. Each posting list first links its members with one member, then with another
-   one drawn by hash; found links contract classes into components.
+3. Each posting list first links its members with one member, longer lists then
+   with others drawn by hash; found links contract classes into components.
 4. What is left are pairs of different components in one list. A pair comes from
-   its first common list only, and must pass the collision count and an upper
-   bound of its similarity from the number of shingles that are in other
-   documents too.
+   its first common list only, and must pass the collision count, that of a
+   longer signature, and an upper bound of its similarity from the number of
+   shingles that are in other sets too.
 5. Every link is confirmed on the full shingle sets.
 
 With 64 coordinates and 32 matches, a pair at similarity 0.75 is missed with a
-probability of 4e-6, at 0.8 of 2e-8. Nothing is capped; lists of any length
+probability of 5e-6, at 0.8 of 2e-8. Nothing is capped; lists of any length
 are merged, and only pairs whose ends aren't connected yet are expanded.
 
 Nulls and texts without a word have the empty set and are linked with nothing,
@@ -33,13 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks
+from .common import free_shuffles, materialize, release, text_chunks
 from .components import components
 from .shingles import Shingler, odd_numbers
 
 COORDINATES = 64
 MATCHES = 32
 SHINGLE = 5
+#: Classes that could be linked have so many more coordinates, of 16 bits each; pairs that are expanded must collide in
+#: LONG_MATCHES of all. At similarity 0.75 a pair fails with a probability of 4e-6.
+MORE_COORDINATES = 192
+LONG_MATCHES = 160
+#: Up to so many ids of wanted texts are broadcast (some 50 MB at most); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Longer lists get more than one round of links with one member before pairs are expanded.
+SHORT_LIST = 16
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
 
@@ -54,6 +62,15 @@ def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (out & ~low) | np.arange(len(factors), dtype=np.uint64)
 
 
+def long_signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """16 bits of the least product with each factor, with the coordinate's number above them."""
+    out, buffer = np.empty(len(factors), np.uint64), np.empty_like(hashes)
+    for i, f in enumerate(factors):
+        out[i] = np.multiply(hashes, f, out=buffer).min()
+    out = (out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return (out | (np.arange(len(factors), dtype=np.uint64) << np.uint64(16))).astype(np.int32)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, node, sig) of each row; node names the shingle set and is null if it's empty."""
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -73,19 +90,21 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes) of the classes in wanted(node, id), from the text of one document of each."""
+    """(node, more, hashes) of the classes in wanted(node, id), from the text of one document of each."""
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id is not null")
-    source = source.join(wanted.select("id"), "id", "left_semi").select("text")
+    ids = wanted.select("id")
+    source = source.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id", "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(SHINGLE)
+        shingler, factors = Shingler(SHINGLE), odd_numbers(MORE_COORDINATES, 6)
         for part in text_chunks(batches, "text"):
-            sets = [shingler.sets(text) for text in part.column("text").to_pylist()]
+            sets = [x for text in part.column("text").to_pylist() if len(x := shingler.sets(text))]
             nodes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+            more = [long_signature(x, factors) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(more, pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "more", "hashes"])
 
     # An id may stand for several texts: only wanted sets stay, once each.
-    return source.mapInArrow(run, "node binary, hashes array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return source.mapInArrow(run, "node binary, more array<int>, hashes array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def enough(both: Column, left: Column, right: Column) -> Column:
@@ -104,13 +123,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_shingles, component_id, kept) of each row of docs."""
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
     classes = signed.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("n_shingles").alias("n"))
+    classes = materialize(classes, "classes")
+    free_shuffles(docs.sparkSession)
     posted = classes.select("node", F.explode("sig").alias("value"))
-    shared = posted.groupBy("value").count().where("count > 1")
+    shared = materialize(posted.groupBy("value").count().where("count > 1"), "shared")
+    free_shuffles(docs.sparkSession)
     listed = posted.join(shared, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("listed"))
     listed = listed.where(F.size("listed") >= MATCHES).select("node", F.slice("listed", 1, F.size("listed") - MATCHES + 1).getField("value").alias("prefix"))
     members = materialize(listed.join(classes, "node"), "members")
+    release(shared)
+    release(classes)
+    free_shuffles(docs.sparkSession)
     posts = members.select("node", "sig", "n", F.explode("prefix").alias("value"))
     sets = materialize(full_sets(docs, members, id_col, text_col), "sets")
+    free_shuffles(docs.sparkSession)
     collide = lambda x, y: F.size(F.array_intersect(x, y)) >= MATCHES
 
     found = None
@@ -119,11 +145,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # One member of each list that still spans components is set against the others.
         at = posts.join(labels, "node")
         order = F.struct("node") if turn == 0 else F.struct(F.xxhash64("node", "value", F.lit(turn)), "node")
-        heads = at.groupBy("value").agg(F.min_by(F.struct("node", "sig", "n", "label"), order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        heads = at.groupBy("value").agg(F.min_by(F.struct("node", "sig", "n", "label"), order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        heads = heads.where("low <> high" if turn == 0 else f"low <> high and size > {SHORT_LIST}")
         pairs = at.join(heads.select("value", "head"), "value").where(F.col("label") != F.col("head.label"))
         pairs = pairs.where(collide(F.col("sig"), F.col("head.sig")) & enough(F.least("n", "head.n"), F.col("n"), F.col("head.n")))
         pairs = pairs.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         fresh = materialize(confirmed(pairs, sets), "found")
+        free_shuffles(docs.sparkSession)
         if turn and fresh.isEmpty():
             break
         found = fresh if found is None else materialize(found.unionByName(fresh), "found")
@@ -154,15 +182,17 @@ def rest(members: DataFrame, posts: DataFrame, labels: DataFrame, sets: DataFram
     shingles = sets.join(busy, "node", "left_semi").select("node", F.explode("hashes").alias("hash"))
     common = shingles.join(shingles.groupBy("hash").count().where("count > 1").select("hash"), "hash")
     bound = common.groupBy("node").agg(F.count("*").alias("common"))
-    able = members.join(bound, "node").where(100 * F.col("common") >= PERCENT * F.col("n")).select("node", "sig", "prefix", "n", "common")
+    able = members.join(bound, "node").where(100 * F.col("common") >= PERCENT * F.col("n")).join(sets.select("node", "more"), "node").select("node", "sig", "more", "prefix", "n", "common")
     side = materialize(open_posts.join(able, "node"), "sides")
     x, y = side.alias("x"), side.alias("y")
     most = F.least("x.common", "y.common")
+    short = F.size(F.array_intersect("x.sig", "y.sig"))
     wanted = (
         (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
         & enough(most, F.col("x.n"), F.col("y.n"))
-        & (F.size(F.array_intersect("x.sig", "y.sig")) >= MATCHES)
+        & (short >= MATCHES)
         & (F.array_min(F.array_intersect("x.prefix", "y.prefix")) == F.col("x.value"))
+        & (short + F.size(F.array_intersect("x.more", "y.more")) >= LONG_MATCHES)
     )
     pairs = materialize(x.join(y, wanted).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "pairs")
     return materialize(confirmed(pairs, sets), "found")
