@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
 
-PERMUTATIONS, BANDS, ROWS = 128, 11, 11
+#: Bands of few rows: a pair at similarity 0.75 shares none of them with a probability of 5e-6, and agrees in fewer than
+#: LEAST coordinates with one of 2e-7; at 0.8 both are below 1e-7.
+PERMUTATIONS, BANDS, ROWS, LEAST = 128, 32, 4, 70
 
 
 def shingled(df: DataFrame, id_col: str, text_col: str, cap: int | None = X.CAP) -> DataFrame:
@@ -46,34 +48,47 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def signatures(sets: DataFrame) -> DataFrame:
-    """(id, sig): least value of any shingle's hash under each of PERMUTATIONS odd multipliers, in numpy by Arrow batch."""
-    hashed = sets.select("id", F.transform("shingles", lambda s: F.xxhash64(s)).alias("hashes"))
+    """(id, hashes, sig): distinct hashes of the shingles and 32 bits of the least product with each of PERMUTATIONS odd multipliers, in numpy by Arrow batch."""
+    hashed = sets.where("id is not null").select("id", F.array_sort(F.array_distinct(F.transform("shingles", lambda s: F.xxhash64(s)))).alias("hashes"))
     factors = np.random.Generator(np.random.Philox(1)).integers(0, 2**62, PERMUTATIONS, dtype=np.int64) * 2 + 1
 
+    def least(x: np.ndarray) -> np.ndarray:
+        out, buffer = np.empty(PERMUTATIONS, np.int64), np.empty_like(x)
+        for i, f in enumerate(factors):
+            out[i] = np.multiply(x, f, out=buffer).min()
+        return (out ^ (out >> 32)).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("hashes")
-            sigs = [(np.asarray(x.values)[:, None] * factors).min(axis=0) for x in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "sig"])
+            sigs = [least(np.asarray(x.values)) for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hashes"), pa.array(sigs, pa.list_(pa.int32()))], names=["id", "hashes", "sig"])
 
-    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, sig array<long>")
+    return hashed.mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, hashes array<long>, sig array<int>")
 
 
-def banded_pairs(sets: DataFrame, least: float = 0.75) -> DataFrame:
-    """(id_a, id_b, estimate) of sets that agree in a band of their MinHash signature and in a share of it.
+def banded_pairs(sets: DataFrame, percent: int = 75) -> DataFrame:
+    """(id_a, id_b, jaccard) of sets(id, shingles) that agree in a band of their MinHash signature, confirmed on the full sets.
 
-    Equal signatures are joined once, as one class with the smallest id.
+    As in similar_pairs, equal sets are one class with the smallest id, and
+    each copy has one pair with its class.
     """
-    signed = signatures(sets).persist()
-    classes = signed.groupBy("sig").agg(F.min("id").alias("id"))
+    signed = signatures(sets).withColumn("key", F.xxhash64("hashes")).persist()  # texts are cut once
+    classes = signed.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).persist()
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(F.col("sig"), b * ROWS + 1, ROWS)))
-    posted = classes.select("id", "sig", F.explode(bands).alias("band"))
-    a, b = posted.alias("a"), posted.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")))
-    agree = F.aggregate(F.zip_with("a.sig", "b.sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / PERMUTATIONS
-    near = met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), agree.alias("estimate")).distinct().where(F.col("estimate") >= least)
-    equal = signed.join(classes.select("sig", F.col("id").alias("id_a")), "sig").where("id > id_a").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("estimate"))
-    return near.unionByName(equal)
+    posted = classes.select("key", F.explode(bands).alias("band"))
+    x, y = posted.alias("x"), posted.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    of = lambda c: classes.select(F.col("key").alias(c), F.col("sig").alias(f"{c}_sig"), F.col("id").alias(f"{c}_id"))
+    agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    likely = met.join(of("a"), "a").join(of("b"), "b").where(agree >= LEAST).select("a", "b", "a_id", "b_id").persist()
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    full = signed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    side = lambda c: full.select(F.col("key").alias(c), F.col("hashes").alias(f"{c}_set"))
+    both = likely.join(side("a"), "a").join(side("b"), "b").withColumn("n", F.size(F.array_intersect("a_set", "b_set")))
+    union = F.size("a_set") + F.size("b_set") - F.col("n")
+    near = both.where(100 * F.col("n") >= percent * union).select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), (F.col("n") / union).alias("jaccard"))
+    copies = signed.select("id", "key").join(classes.select("key", F.col("id").alias("id_a")), "key").where("id > id_a")
+    return near.unionByName(copies.select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("jaccard")))
 
 
 def cluster_rates(df: DataFrame, pairs: DataFrame, score: str, thresholds: tuple[float, ...] = (0.75, 0.85, 0.9)) -> DataFrame:

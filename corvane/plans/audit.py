@@ -90,7 +90,7 @@ def metrics(t: Tables) -> dict[str, dict]:
             grade = "strong" if score >= strong else "acceptable" if score >= acceptable else "weak" if score >= weak else "critical"
             out[name] = {"score": score, "grade": grade, "gate": gate}
     named = docs.withColumn("id", F.concat_ws(":", "folder_set", "polarity", "name"))
-    rates = {r.threshold: r.rate for r in M.cluster_rates(docs, M.banded_pairs(M.shingled(named, "id", "text")), "estimate").collect()}
+    rates = {r.threshold: r.rate for r in M.cluster_rates(docs, M.banded_pairs(M.shingled(named, "id", "text")), "jaccard").collect()}
     if rates.get(0.75) is not None:
         out["template_cluster_rate"] = {"score": rates[0.75], "grade": "report_only", "gate": False, "rate_85": rates[0.85], "rate_90": rates[0.9]}
     docs.unpersist()

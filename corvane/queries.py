@@ -358,8 +358,8 @@ def near_dup_cluster_rate(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def minhash_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Near pairs by MinHash bands over evenly sampled shingles. No SQL: the hash family is Spark's."""
-    return M.banded_pairs(M.shingled(table(spark, d, "documents"), "doc_id", "text"))
+    """Near pairs of whole texts by MinHash bands, confirmed on their full sets. No SQL: the hash family is Spark's."""
+    return M.banded_pairs(M.shingled(table(spark, d, "documents"), "doc_id", "text", None))
 
 
 #: Frequent short words of each language.
