@@ -109,6 +109,7 @@ def structure(t: Tables, options: Options) -> DataFrame:
         F.collect_set(F.when(F.expr("area = '' and not is_dir"), F.col("name"))).alias("names"),
         F.count_if(F.expr("not is_dir and name like '%.json' and area in ('context_output_normalized', 'context_output_normalised')")).alias("contexts"),
         F.count_if(F.expr("is_dir and name like 'chunk_run_%' and area = 'SITGrader'")).alias("grades"),
+        F.max(F.when(F.expr("is_dir and name like 'chunk_run_%' and area = 'SITGrader'"), F.col("name"))).alias("latest"),
         F.count_if(F.expr("is_dir and name = 'misc' and area = 'SITGrader'")).alias("misc"),
         F.count_if(F.expr("is_dir and name like 'run_benchmark_%' and area = 'SITGrader'")).alias("legacy"),
     )
@@ -121,7 +122,8 @@ def structure(t: Tables, options: Options) -> DataFrame:
     had = areas.groupBy(*BOTH).agg(F.collect_set("area").alias("areas"))
     every = folder_sets(t).select("folder_set", F.explode(F.array(F.lit("Positive"), F.lit("Negative"))).alias("polarity")).join(had, list(BOTH), "left")
     inner = [Test(r, f"{n}/ is there", ~F.coalesce(F.array_contains("areas", n), F.lit(False))) for r, n in FOLDERS]
-    return judged(sets, "1-2. Folder Structure", tests, F.col("folder_set")).unionByName(judged(every, "1-2. Folder Structure", inner, F.col("polarity"), BOTH))
+    again = [Test("M1", "SITGrader has one chunk_run folder; the latest counts", F.col("grades") > 1, late & (F.col("grades") > 1), status="WARN")]
+    return judged(sets, "1-2. Folder Structure", tests, F.col("folder_set")).unionByName(judged(sets, "8. Metadata / Engine / Chunk labels", again, F.col("latest"))).unionByName(judged(every, "1-2. Folder Structure", inner, F.col("polarity"), BOTH))
 
 
 ALLOWED_FOLDERS = ["Positive", "Negative", "Disagreements", "context_output_normalized", "context_output_normalised", "SITGrader"]
@@ -160,6 +162,12 @@ def parity(t: Tables, options: Options) -> DataFrame:
         a = documents.select(*BOTH, F.col(key).alias("key")).distinct().withColumn("l", F.lit(1))
         b = stems(t, area).select(*BOTH, F.col(key).alias("key")).distinct().withColumn("r", F.lit(1))
         out.append(judged(a.join(b, [*BOTH, "key"], "full_outer"), category, [Test(rule, f"raw_doc and {area} have the same documents", F.col("l").isNull() | F.col("r").isNull())], F.col("key"), BOTH))
+    # Only of an index.jsonl that is there; a missing one is not reported.
+    there = t.files.where("area = 'metadata' and name = 'index.jsonl' and not is_dir and polarity is not null").select(*BOTH).distinct()
+    out.append(judged(t.listing, category, [Test("R1", "lines of metadata/index.jsonl are JSON", F.col("bad"))], F.col("line"), BOTH))
+    listed = t.listing.where(X.is_object(F.col("v")) & X.is_truthy(raw("stem", "v"))).select(*BOTH, X.text_of(raw("stem", "v")).alias("key")).distinct().withColumn("l", F.lit(1))
+    known = stems(t, "metadata").join(there, list(BOTH), "left_semi").select(*BOTH, F.col("stem").alias("key")).distinct().withColumn("r", F.lit(1))
+    out.append(judged(listed.join(known, [*BOTH, "key"], "full_outer"), category, [Test("R1", "metadata/index.jsonl and metadata have the same documents", F.col("l").isNull() | F.col("r").isNull())], F.col("key"), BOTH))
     sides = documents.groupBy("stem").agg(F.collect_set(F.concat_ws("/", *BOTH)).alias("places"))
     # A name in two places; each pair of places is a rule of its own.
     names = [(f, p) for f in ("Agreements", "Disagreements") for p in ("Positive", "Negative")]
@@ -246,9 +254,12 @@ def summary(t: Tables, options: Options) -> DataFrame:
     said = {n: t_.groupBy("folder_set").agg(F.count_if(~F.col("bad") & X.is_object(v)).alias(f"{n}_n"), F.count_if(F.col("bad")).alias(f"{n}_bad"), F.count_if(label_of() == "positive").alias(f"{n}_pos"), F.count_if(label_of() == "negative").alias(f"{n}_neg")) for n, t_ in (("corpus", t.corpus), ("combined", t.combined))}
     one = t.summary.join(files, "folder_set", "left").join(context_rows, "folder_set", "left").join(said["corpus"], "folder_set", "left").join(said["combined"], "folder_set", "left")
     pos, neg, total = count("positive"), count("negative"), count("total")
+    version = X.text_of(raw("version", "v"))
+    inside = F.when(F.col("folder_set") == "Disagreements", t.versions["Disagreements"]).otherwise(t.versions["Agreements"])
     tests = [
         Test("E0", "the summary is a JSON object", F.col("error").isNotNull() | ~X.is_object(v)),
         *[Test("E1", f"{k} is stated", raw(k, "v").isNull(), X.is_object(v)) for k in ("sit_name", "version", "output_dir", "counts")],
+        Test("E2", "version is the version folder's name", version != inside, X.is_object(v) & version.isNotNull()),
         *[Test("E3", f"counts.{n} is a whole number", ~whole(n), X.is_object(raw("counts", "v"))) for n in ("positive", "negative", "total")],
         Test("E4", "positive and negative add up", pos + neg != total, (pos + neg + total).isNotNull()),
         Test("E5", "true records are the positive documents", truth("true") != pos, (truth("true") + pos).isNotNull()),

@@ -42,6 +42,8 @@ class Tables:
     evaluations: DataFrame
     grades: DataFrame
     chunk_summary: DataFrame
+    listing: DataFrame  # folder_set, polarity, line, v, bad: metadata/index.jsonl
+    versions: dict[str, str]  # folder_set: name of the version folder that it lies in
 
     @property
     def instances(self) -> DataFrame:
@@ -83,9 +85,9 @@ def _parsed(df: DataFrame) -> DataFrame:
     return df.select("folder_set", "polarity", "name", v.alias("v"), error.alias("error"))
 
 
-def _lines(df: DataFrame) -> DataFrame:
+def _lines(df: DataFrame, *more: str) -> DataFrame:
     v = F.try_parse_json("value")
-    rows = df.where(F.trim("value") != "").select("folder_set", F.monotonically_increasing_id().alias("line"), v.alias("v"))
+    rows = df.where(F.trim("value") != "").select("folder_set", *more, F.monotonically_increasing_id().alias("line"), v.alias("v"))
     return rows.withColumn("bad", F.col("v").isNull())
 
 
@@ -161,4 +163,5 @@ def land(spark: SparkSession, run_path: str | Path) -> Tables:
         _lines(read([t / "combined_metadata.jsonl" for t in tops], whole=False)).persist(), _lines(read([t / "corpus.jsonl" for t in tops], whole=False)).persist(),
         context.persist(), chunks, index_file, _lines(read([g / "misc/chunk_evaluations.jsonl" for g in grader], whole=False)),
         _lines(read([p / "chunk_grades.jsonl" for p in latest], whole=False)), _parsed(read([p / "chunk_summary.json" for p in latest])),
+        _lines(read([o / "metadata" for o in outputs], "index.jsonl", whole=False), "polarity"), {"Agreements": root.name if root.name.startswith("Version_") else root.parent.name, "Disagreements": root.name},
     )
