@@ -6,8 +6,10 @@ length 1. Fitting draws a bounded sample of labelled rows by hash of their id,
 at most per_language of each language and MAX_LANGUAGES languages, takes idf
 from it and clusters each language's vectors into `clusters` centroids by
 spherical k-means. A text gets the language of the centroid with the largest
-cosine; it is rejected if that cosine is below a floor learned from the cosines
-of the sample, so that only texts unlike anything in it are.
+cosine; it is rejected if that cosine is below the floor for its length. Cosines
+grow with the number of bins that a text fills, so floors are learned from the
+sample by powers of two of it: a share of a low quantile, which a few odd sample
+texts don't move.
 
 Defined cases: texts that are null or have no letter are `und`, score 0,
 rejected. Texts are read whole, in blocks, so that memory doesn't grow with their
@@ -33,8 +35,10 @@ BINS = 4096
 PER_LANGUAGE = 400
 MAX_LANGUAGES = 64
 CLUSTERS = 4
-#: The floor for rejection is this share of the smallest cosine that a sample text has with its own language.
-FLOOR_SHARE = 0.2
+#: The floor of a length is this share of this quantile of the cosines that sample texts of that length have with their own language.
+FLOOR_SHARE, FLOOR_QUANTILE = 0.5, 0.02
+#: Lengths with fewer sample texts take their floor from another.
+FLOOR_TEXTS = 20
 BLOCK = 1 << 19
 UNKNOWN = "und"
 
@@ -77,6 +81,25 @@ def trigram_counts(texts: list[str | None]) -> np.ndarray:
     return counts
 
 
+def _length(counts: np.ndarray) -> np.ndarray:
+    """The power of two of the number of bins that each row fills."""
+    return np.frexp((counts > 0).sum(axis=1))[1]
+
+
+def _floors(lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The floor of each length. One with few texts has that of the next shorter one with enough; the shortest fall with the root of the length."""
+    sizes = np.bincount(lengths, minlength=BINS.bit_length() + 1)
+    floors, enough = np.zeros(len(sizes)), np.flatnonzero(sizes >= min(FLOOR_TEXTS, sizes.max()))
+    for k in range(len(sizes)):
+        if k in enough:
+            floors[k] = FLOOR_SHARE * np.quantile(cosines[lengths == k], FLOOR_QUANTILE)
+        else:
+            floors[k] = floors[k - 1] if k > enough[0] else 0
+    for k in range(enough[0] - 1, -1, -1):
+        floors[k] = floors[k + 1] / np.sqrt(2)
+    return floors
+
+
 @dataclass
 class Centroids:
     """A fitted classifier."""
@@ -85,7 +108,7 @@ class Centroids:
     language_of: np.ndarray
     centres: np.ndarray
     idf: np.ndarray
-    floor: float
+    floors: np.ndarray
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         out = np.zeros_like(counts)
@@ -105,7 +128,7 @@ class Centroids:
         score = np.clip(cosines[np.arange(len(best)), best].astype(float), 0, 1)
         score[blank] = 0
         named = [UNKNOWN if b else self.languages[self.language_of[k]] for b, k in zip(blank.tolist(), best.tolist(), strict=True)]
-        return named, score, blank | (score < self.floor)
+        return named, score, blank | (score < self.floors[_length(counts)])
 
 
 def _clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -128,7 +151,7 @@ def fit_counts(labels: list[str], counts: np.ndarray, clusters: int = CLUSTERS)
     counts, labels = counts[seen], [x for x, s in zip(labels, seen.tolist(), strict=True) if s]
     languages = sorted(set(labels))
     idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Centroids(languages, np.zeros(0, int), np.zeros((0, BINS), np.float32), idf, 0.0)
+    model = Centroids(languages, np.zeros(0, int), np.zeros((0, BINS), np.float32), idf, np.zeros(BINS.bit_length() + 1))
     if not languages:
         return model
     vectors, centres, owner = model.vectors(counts), [], []
@@ -141,7 +164,7 @@ def fit_counts(labels: list[str], counts: np.ndarray, clusters: int = CLUSTERS)
     model.centres, model.language_of = np.concatenate(centres), np.array(owner)
     cosines = vectors @ model.centres.T
     own = np.where(model.language_of[None, :] == named[:, None], cosines, 0).max(axis=1)
-    model.floor = float(FLOOR_SHARE * own.min())
+    model.floors = _floors(_length(counts), own)
     return model
 
 
