@@ -36,10 +36,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates. A document is an id and a text: rows that repeat both stay once, those without an id or a word all stay."""
     ship_package(spark)
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("hash"))))
+    decided = neardup.near_duplicates(keyed, "_key").where("_key is not null").select("_key", "n_shingles", "kept")
+    left = keyed.join(decided.where("not kept").select("_key").distinct(), "_key", "left_anti")
+    again = decided.where("kept and n_shingles > 0").groupBy("_key").count().where("count > 1").select("_key")
+    if not again.isEmpty():
+        left = left.join(again, "_key", "left_anti").unionByName(left.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
