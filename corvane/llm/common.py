@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,7 +69,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -82,10 +85,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.table_path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != df.table_path]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those put into the list."""
+    start, kept = {path for _, path in _WRITTEN}, []
+    yield kept
+    stay = start | {df.table_path for df in kept}
+    for session, path in [x for x in _WRITTEN if x[0] is spark and x[1] not in stay]:
+        remove(session, path)
+        _WRITTEN.remove((session, path))
+    free_shuffles(spark)
 
 
 @atexit.register
