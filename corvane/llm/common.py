@@ -25,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, name: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns but some as one struct, so that their names can't clash with others."""
+    fields = [named(df, c).alias(c) for c in df.columns if c not in without]
+    return F.struct(*(fields or [F.lit(0).alias("none")]))
+
+
+def unpacked(row: str, columns: list[str], put: dict[str, Column]) -> list[Column]:
+    """The columns of a struct of packed(), and those in put by their names, in order."""
+    return [put[c].alias(c) if c in put else F.col(row).getField(c).alias(c) for c in columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -46,7 +46,7 @@ def test_hot_keys_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(linededup, "HOT_SAMPLE", 1)
     rows = made(300, "a line in every document")
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert linededup.hot_keys(linededup.keyed_lines(df, "doc_id", "text", 10))
+    assert not linededup.hot_keys(linededup.keyed_lines(df, "doc_id", "text", 10), 4).isEmpty()
     assert found(spark, rows) == plain(rows)
 
 
@@ -61,6 +61,14 @@ def test_other_columns_empty_table_and_long_text(spark):
 
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    plan = apply_bitmaps(df, dropped_lines(df))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
-    assert "rangepartitioning" in plan or "RepartitionByExpression" in plan
+    bitmaps = linededup._bitmaps(linededup.keyed_lines(df, "doc_id", "text", 10), None, 4)
+    plans = [x._jdf.queryExecution().toString() for x in (apply_bitmaps(df, dropped_lines(df)), bitmaps)]
+    assert not any("Python" in plan or "Arrow" in plan for plan in plans)
+    assert "rangepartitioning" in plans[1] or "RepartitionByExpression" in plans[1]
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "some longer line", 1, 2, 3, 4, 5)], "doc_id long, text string, _words int, _kept int, id int, row int, `a.b` int")
+    done = apply_bitmaps(df, dropped_lines(df))
+    assert done.columns == ["doc_id", "text", "_words", "id", "row", "a.b", "_n_lines", "_n_dropped", "_kept"]
+    assert [tuple(r) for r in done.collect()] == [(1, "some longer line", 1, 3, 4, 5, 1, 0, "some longer line")]
