@@ -21,8 +21,10 @@ of its own. Each step's result depends on the rows and the seed alone.
 
 Defined cases: null and empty texts have size 0 and are never taken; null is a
 source of its own. Rows that repeat an id are separate documents. An empty
-table gives an empty result. Columns besides id, text and source aren't read,
-but mixed_documents() returns them.
+table gives an empty result. Ties in a source's order are broken by id, text and
+size; rows that agree in all of them are taken one after the other. A very long
+text fills as many blocks as it has words for. Columns besides id, text and
+source aren't read, but mixed_documents() returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize, word_count
+from .common import SPACE_CLASS, free_shuffles, materialize, named, packed, release, scratch, unpacked, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -44,8 +46,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 256
 #: Shards that one draw task numbers through.
 GROUP = 256
-#: Rows for which offsets are summed in one task, about.
-BUCKET_ROWS = 5000
+#: Rows of a source for which offsets are summed together, about.
+BUCKET_ROWS = 1000
 MAX_SOURCES = 100_000
 SEED = 20
 
@@ -152,19 +154,20 @@ class Mix:
 
 
 def _located(docs: DataFrame, id_col: str, text_col: str, source_col: str, plan_of, seed: int) -> tuple[Plan, DataFrame]:
-    sized = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("text_hash"))
+    sized = docs.select(named(docs, id_col).alias("id"), named(docs, source_col).cast("string").alias("source"), word_count(named(docs, text_col)).alias("size"), F.xxhash64(named(docs, text_col)).alias("text_hash"))
     sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     plan = plan_of([r["source"] for r in totals], [r["size"] for r in totals])
     spark = docs.sparkSession
-    numbers = F.broadcast(spark.createDataFrame(pd.DataFrame({"name": pd.Series(plan.sources, dtype=object), "source_number": np.arange(len(plan.sources), dtype=np.int64)}), "name string, source_number long")) if totals else None
-    if numbers is None:
+    if not totals:
         return plan, sized.select("*", F.lit(1).alias("copy"), F.lit(0).cast("long").alias("source_number"), F.lit(0).cast("long").alias("start"))
-    buckets = max(1, -(-sum(r["n"] for r in totals) // BUCKET_ROWS))
+    rows = {r["source"]: r["n"] for r in totals}
+    numbers = pd.DataFrame({"name": pd.Series(plan.sources, dtype=object), "source_number": np.arange(len(plan.sources), dtype=np.int64), "buckets": [-(-rows[s] // BUCKET_ROWS) for s in plan.sources]})
+    numbers = F.broadcast(spark.createDataFrame(numbers, "name string, source_number long, buckets long"))
     known = sized.join(numbers, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    known = known.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)))
+    known = known.withColumn("bucket", F.pmod(F.xxhash64("id", "text_hash", F.lit(seed)), F.col("buckets")))
     inside = Window.partitionBy("source_number", "bucket").orderBy("id", "text_hash", "size")
     known = known.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     again = Window.partitionBy("source_number", "bucket", "id", "text_hash").orderBy("size")
@@ -173,7 +176,9 @@ def _located(docs: DataFrame, id_col: str, text_col: str, source_col: str, plan_
     through = Window.partitionBy("source_number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = filled.select("source_number", "bucket", F.coalesce(F.sum("filled").over(through), F.lit(0)).alias("base"))
     placed = known.join(base, ["source_number", "bucket"]).withColumn("start", F.col("base") + F.coalesce("before", F.lit(0)))
-    return plan, materialize(placed.select("id", "source", "size", "text_hash", "copy", "source_number", "start"), "places")
+    places = materialize(placed.select("id", "source", "size", "text_hash", "copy", "source_number", "start"), "places")
+    release(sized)
+    return plan, places
 
 
 def _slots(docs: DataFrame, plan: Plan, shard_slots: int) -> DataFrame:
@@ -256,15 +261,27 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row whose epoch takes all words has the whole text. Otherwise its text has
     the words that the epoch takes, with the white space after each, in order.
     """
-    mixed = mix(docs, id_col, text_col, source_col, **settings)
-    spans = mixed.spans.groupBy("source_number", "start", "epoch").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
-    keys = mixed.documents.where("size > 0").join(spans, ["source_number", "start"])
-    keys = keys.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("copy").alias("_copy"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("spans").alias("_spans"))
-    again = Window.partitionBy(id_col, "_text_hash", source_col).orderBy(F.lit(1))
-    rows = docs.withColumn("_text_hash", F.xxhash64(docs[text_col])).withColumn("_turn", F.row_number().over(again))
-    joined = rows.join(keys, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")) & (F.col("_turn") == F.col("_copy")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(rf"[^{SPACE_CLASS}]+[{SPACE_CLASS}]*"), F.lit(0))
-    held = F.struct(words.alias("words"), F.col("_spans").alias("spans"))
+    spark = docs.sparkSession
+    with scratch(spark) as stay:
+        mixed = mix(docs, id_col, text_col, source_col, **settings)
+        spans = mixed.spans.groupBy("source_number", "start", "epoch").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
+        epochs = spans.groupBy("source_number", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "taken", "spans"))).alias("epochs"))
+        free_shuffles(spark)
+        keys = materialize(mixed.documents.where("size > 0").join(epochs, ["source_number", "start"]).select("id", "source", "text_hash", "copy", "size", "epochs"), "keys")
+        again = materialize(keys.where("copy > 1").select("id", "source", "text_hash").distinct(), "again")
+        stay += [keys, again]
+    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["text_hash"] == y["text_hash"]) & x["source"].eqNullSafe(y["source"])
+    rows = docs.select(packed(docs, (text_col,)).alias("row"), named(docs, text_col).alias("text"), named(docs, id_col).alias("id"), F.xxhash64(named(docs, text_col)).alias("text_hash"), named(docs, source_col).cast("string").alias("source"))
+    took = ["row", "text", "size", "epochs"]
+    if again.isEmpty():
+        joined = rows.join(keys, same(rows, keys)).select(*took)
+    else:  # which of the rows that agree in id, text and source is which copy
+        turn = F.row_number().over(Window.partitionBy("id", "text_hash", "source").orderBy(F.lit(1)))
+        once, copies = rows.join(again, same(rows, again), "left_anti"), rows.join(again, same(rows, again), "left_semi").withColumn("turn", turn)
+        joined = once.join(keys, same(once, keys)).select(*took).unionByName(copies.join(keys, same(copies, keys) & (copies["turn"] == keys["copy"])).select(*took))
+    words = F.regexp_extract_all(F.col("text"), F.lit(rf"[^{SPACE_CLASS}]+[{SPACE_CLASS}]*"), F.lit(0))
+    joined = joined.select("row", "text", "size", F.explode("epochs").alias("epoch"))
+    held = F.struct(words.alias("words"), F.col("epoch.spans").alias("spans"))
     cut = F.transform(F.array(held), lambda h: F.array_join(F.transform(h["spans"], lambda s: F.array_join(F.slice(h["words"], (s["first"] + 1).cast("int"), s["words"].cast("int")), "")), ""))[0]
-    text = F.when(F.col("_taken") == F.col("_size"), F.col(text_col)).otherwise(cut)
-    return joined.withColumn("_mixed", text).select(*[F.col("_mixed").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.when(F.col("epoch.taken") == F.col("size"), F.col("text")).otherwise(cut)
+    return joined.withColumn("mixed", text).select(*unpacked("row", docs.columns, {text_col: F.col("mixed")}))

@@ -99,3 +99,10 @@ def test_empty_tables(spark):
         df = spark.createDataFrame(rows, SCHEMA)
         assert [r.taken for r in per_document(mix(df)).collect()] == [0] * len(rows)
         assert mixed_documents(df).collect() == []
+
+
+def test_extra_names_repeated_rows_and_a_very_long_text(spark):
+    rows = [(1, "a b c", "s", 1, 2), (1, "a b c", "s", 1, 2), (2, "x " * 200_000, "t", 3, 4), (None, None, None, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _taken int, size int")
+    got = mixed_documents(df).collect()
+    assert {tuple(r)[3:] for r in got} <= {(1, 2), (3, 4)} and words(" ".join(r.text for r in got)) == round(1.5 * 200_006)
