@@ -3,24 +3,31 @@
 Text is cut into words (a run of word-start marks and what follows up to the
 next mark; no piece has a mark after another character). The distinct words of
 a chunk lie in one flat array of symbols. Each round looks up the rank of every
-adjacent pair, takes the minimum per word, merges the leftmost pairs of that
-rank in all words at once and compacts the array, until no pair is left.
+adjacent pair, takes the minimum per segment, merges the leftmost pairs of that
+rank in all segments at once and compacts the array, until no pair is left.
 
-Several merges in one word and round are the same as one after the other only
+A word is one segment if it isn't longer than the longest piece by more than two
+symbols. Longer words are blocks of that size, and a segment is a block with its
+two neighbours. What merges outside a segment can't reach its inner block before
+the segment's own minimum does: no piece is that long, and what grows into the
+segment from its ends is one piece at either end. So a block's merges don't wait
+for lower ranks far away, and a long word needs about as many rounds as a short one.
+
+Several merges in one segment and round are the same as one after the other only
 if no piece that a merge makes possible ranks before it. Pieces for which this
-doesn't hold (they are found when the model is read) merge once a round in each
-word. Words that are still unfinished after MAX_ROUNDS go on with a priority
-queue from the state they are in, which gives the same pieces.
+doesn't hold (they are found when the model is read) merge once a round in two
+neighbouring blocks; long runs of one symbol, where each would wait for the one
+before, merge by groups. A run of overlapping pairs of one rank waits until its
+first pair may merge, since that decides which of them do.
 
 Nulls count as empty text, and empty text has no ids. Rows are independent:
 ties and repeated rows each get their own result, an empty table gives an empty
 one. Input columns besides the named ones are not read, so their names can't
-clash.
+clash. Very long texts, and words without a space in them, take the same rounds.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -33,9 +40,8 @@ from pyspark.sql import types as T
 from .common import text_chunks
 
 MARK = "▁"
-MAX_ROUNDS = 64
 #: Characters of the words that a task remembers with their ids; beyond that it starts afresh.
-CACHE_CHARS = 8_000_000
+CACHE_CHARS = 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _NONE = np.int64(1 << 40)
 
@@ -132,6 +138,8 @@ class PieceModel:
         self.ranks = np.array([rank[i] for i in merged] + [_NONE], np.int64)
         self.unsafe = unsafe
         # Hash table of pairs: a slot has the place of a pair in keys; the last place is of none.
+        self.block = max(map(len, pieces), default=1) + 2
+        self.groups: dict[tuple[int, int], tuple[int, int]] = {}
         self.bits = max(4, len(keys).bit_length() + 3)
         self.slots, self.probes = np.full(1 << self.bits, len(keys), np.int32), 1
         rest, place = np.arange(len(keys)), self.slot(self.keys[:-1])
@@ -170,79 +178,104 @@ class PieceModel:
     def slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def encode_words(self, words: list[str], max_rounds: int = MAX_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words and the number of ids of each."""
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        for _ in range(max_rounds):
-            if not len(symbols):
-                break
+        while len(symbols):
             rank = np.full(len(symbols), _NONE)
             piece = np.zeros(len(symbols), np.int64)
             rank[:-1], piece[:-1] = self.pairs(symbols[:-1], symbols[1:])
             rank[:-1][word[:-1] != word[1:]] = _NONE
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(starts, len(symbols)))
-            least = np.minimum.reduceat(rank, starts)
-            if (over := least == _NONE).any():
+            if (over := np.minimum.reduceat(rank, starts) == _NONE).any():
                 gone = np.repeat(over, sizes)
                 done.append((word[gone], symbols[gone]))
                 symbols, word, rank, piece = symbols[~gone], word[~gone], rank[~gone], piece[~gone]
                 if not len(symbols):
                     break
-                sizes, least = sizes[~over], least[~over]
+                sizes = sizes[~over]
                 starts = np.append(0, np.cumsum(sizes)[:-1])
-            at = np.arange(len(symbols))
-            best = rank == np.repeat(least, sizes)
-            # In a run of overlapping pairs of the same rank every other one merges, from the left.
-            run = np.maximum.accumulate(np.where(best, -1, at))
-            take = best & ((at - run) % 2 == 1)
-            first = np.minimum.reduceat(np.where(best, at, len(symbols)), starts)
-            take &= ~self.unsafe[piece] | (at == np.repeat(first, sizes))
+            if sizes.max() > 8 * self.block and (cut := self.run_cuts(symbols, word, rank, piece)):
+                for i, k, gone, new in reversed(cut):
+                    symbols[i : i + k] = new
+                    symbols, word = np.delete(symbols, np.s_[i + k : i + gone]), np.delete(word, np.s_[i + k : i + gone])
+                continue
+            take = self.merges(rank, piece, starts, sizes)
             symbols = np.where(take, piece, symbols)
             keep = np.append(True, ~take[:-1])
             symbols, word = symbols[keep], word[keep]
-        if len(symbols):
-            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            for part, w in zip(np.split(symbols, starts[1:]), word[starts], strict=True):
-                rest = self.merge_queue(part)
-                done.append((np.full(len(rest), w), rest))
         word, symbols = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(word, kind="stable")
         return self.to_ids(word[order], symbols[order], len(words))
 
-    def merge_queue(self, symbols: np.ndarray) -> np.ndarray:
-        """The merges of one word one by one, best rank first, then leftmost."""
-        s = symbols.tolist()
-        n = len(s)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n:
-                rank, piece = self.pairs(np.array([s[i]]), np.array([s[j]]))
-                if rank[0] != _NONE:
-                    heapq.heappush(heap, (int(rank[0]), i, s[i], s[j], int(piece[0])))
-
-        rank, piece = self.pairs(symbols[:-1], symbols[1:])
-        for i in np.flatnonzero(rank != _NONE).tolist():
-            heap.append((int(rank[i]), i, s[i], s[i + 1], int(piece[i])))
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right, new = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != left or j >= n or s[j] != right:
+    def merges(self, rank: np.ndarray, piece: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which pairs, named by the place of their left symbol, merge in this round."""
+        at = np.arange(len(rank))
+        within = at - np.repeat(starts, sizes)
+        blocks = np.flatnonzero(within % self.block == 0)
+        count = np.diff(np.append(blocks, len(rank)))
+        opens = within[blocks] == 0
+        ends = np.append(opens[1:], True)
+        own = np.minimum.reduceat(rank, blocks)
+        least = np.minimum(own, np.where(opens, _NONE, np.roll(own, 1)))
+        least = np.minimum(least, np.where(ends, _NONE, np.roll(own, -1)))
+        best = (rank == np.repeat(least, count)) & (rank != _NONE)
+        # In a run of overlapping pairs of the same rank every other one merges, from the left, if the run begins where it seems to.
+        run = np.maximum.accumulate(np.where(best, -1, at))
+        true_start = np.append(True, rank[:-1] != np.where(best, rank, -1)[1:])
+        take = best & ((at - run) % 2 == 1) & true_start[np.minimum(run + 1, len(rank) - 1)]
+        # At most one merge of an unsafe piece in a block, and none where the block before has one to come.
+        if (risky := take & self.unsafe[piece]).any():
+            first = np.minimum.reduceat(np.where(best, at, len(rank)), blocks)
+            has = first < len(rank)
+            waits = np.where(opens, False, np.roll(has, 1))
+            take &= ~risky | ((at == np.repeat(first, count)) & ~np.repeat(waits, count))
+        return take
+
+    def run_cuts(self, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, piece: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(start, pieces, symbols, piece) of long runs of one symbol whose next merges repeat what the ones before have made.
+
+        Merges of an unsafe piece go from left to right, one a round. In a run of
+        one symbol each group of them gives the same piece, as soon as what is on
+        the left is such pieces alone; so all groups but the last are done at once.
+        """
+        risky = np.append(False, (rank != _NONE) & self.unsafe[piece] & (symbols == np.append(symbols[1:], -1)))
+        edges = np.flatnonzero(np.diff(np.append(risky, False).astype(np.int8)))
+        found = []
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            n = j - i + 1
+            if n < 6 * self.block:
+                continue
+            new, size = self.grown(int(symbols[i]), int(rank[i]))
+            if not size:
                 continue
-            s[i], s[j] = new, -1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(before[i], i)
-            push(i, after[i])
-        return np.array([x for x in s if x >= 0], np.int64)
+            back = -(-self.block // len(self.pieces[new]))
+            left = np.s_[i - back : i]
+            k = (n - 3 * self.block) // size
+            if i >= back and (symbols[left] == new).all() and (word[left] == word[i]).all() and (rank[left] > rank[i]).all() and k > 0:
+                found.append((i, k, k * size, new))
+        return found
+
+    def grown(self, symbol: int, most: int) -> tuple[int, int]:
+        """The piece that merges up to a rank make of each group of symbols in a long run of one symbol, and the group's size; size 0 if groups differ."""
+        if (known := self.groups.get((symbol, most))) is None:
+            s, size = np.full(8 * self.block, symbol), np.ones(8 * self.block, np.int64)
+            while len(s) > 1:
+                rank, piece = self.pairs(s[:-1], s[1:])
+                i = int(rank.argmin())
+                if rank[i] > most:
+                    break
+                s[i] = piece[i]
+                size[i] += size[i + 1]
+                s, size = np.delete(s, i + 1), np.delete(size, i + 1)
+            same = int(np.append(s != s[0], True).argmax())
+            known = self.groups[symbol, most] = (int(s[0]), int(size[0])) if size[0] > 1 and size[:same].sum() >= 6 * self.block else (0, 0)
+        return known
 
     def to_ids(self, word: np.ndarray, symbols: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols: characters outside the vocabulary become their UTF-8 bytes."""
