@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a task remembers with their hashes; beyond that it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 
 
 class _Hashes(dict):
