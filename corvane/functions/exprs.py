@@ -224,6 +224,20 @@ def assessable_words(text: Column, planted: Column) -> Column:
     return evenly(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(planted, w) & ~w.rlike("^[A-Z]{2,}$")), CAP)
 
 
+# Frequent short words of each language.
+STOP_WORDS = {
+    "en": ["the", "of", "and", "to", "in", "is", "that"], "de": ["der", "die", "und", "in", "den", "von", "zu"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en"], "es": ["de", "la", "que", "el", "en", "y", "los"],
+}
+
+
+def guessed_language(words: Column) -> Column:
+    """The language of STOP_WORDS that has most of the words; the first one of equals; null if none has any."""
+    among = lambda known: F.size(F.filter(words, lambda x: F.lower(x).isin(known)))
+    hits = F.array(*[F.struct(among(known).alias("n"), F.lit(-i).alias("early"), F.lit(lang).alias("lang")) for i, (lang, known) in enumerate(STOP_WORDS.items())])
+    return F.transform(F.array(F.array_max(hits)), lambda best: F.when(best["n"] > 0, best["lang"]))[0]
+
+
 def tolerant_pattern(value: Column) -> Column:
     """A pattern for the value with an optional separator between its characters."""
     return F.array_join(F.transform(F.split(value, "(?<=.)(?=.)|(?<=\n)"), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), r"[\s\-.]?")

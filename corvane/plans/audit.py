@@ -83,6 +83,15 @@ def metrics(t: Tables) -> dict[str, dict]:
     span = X.find_span(F.col("text"), value)
     labels = inside.where((F.col("side") == "negative") & (value != "")).withColumn("span", span).where("span is not null").select(X.observed_label(F.col("text"), F.col("span.start")).alias("label")).where("label is not null")
     scores["negative_label_uniqueness"] = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*") / F.sum("n")).first()[0]
+    language = F.lower(F.substring(X.strip(field("language", v="v")), 1, 2))
+    target = A.dominant(docs, language, F.pmod(F.xxhash64("name"), F.lit(1 << 40))).first()
+    if target and target["value"] in X.STOP_WORDS:
+        # Without a detector package, frequent short words tell the language; words of texts without any aren't assessed.
+        lists = F.flatten(F.map_values(F.try_variant_get("v", "$.sit_values", "map<string,array<string>>"))), F.flatten(F.map_values(F.try_variant_get("v", "$.lookalike_values", "map<string,array<string>>")))
+        planted = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
+        words = docs.select(X.assessable_words(F.col("text"), planted).alias("words")).withColumn("guess", X.guessed_language(F.col("words"))).where("guess is not null")
+        size = F.size("words")
+        scores["target_language_purity"] = words.agg(1 - F.sum(F.when(F.col("guess") != target["value"], size).otherwise(0)) / F.sum(size)).first()[0]
     out = {}
     for name, score in scores.items():
         if score is not None:
@@ -105,8 +114,11 @@ def verdict(rows: list[dict], graded: dict[str, dict]) -> str:
 def audit(spark: SparkSession, path: str | Path, options: Options = Options()) -> dict:
     """The whole report of one run."""
     t = land(spark, path)
-    rows, graded = results(t, options), metrics(t)
-    stats = {k: [r.asDict() for r in df.collect()] for k, df in statistics(t).items()}  # each a few dozen rows
+    try:
+        rows, graded = results(t, options), metrics(t)
+        stats = {k: [r.asDict() for r in df.collect()] for k, df in statistics(t).items()}  # each a few dozen rows
+    finally:
+        t.release()
     return {"verdict": verdict(rows, graded), "results": rows, "metrics": graded, "statistics": stats}
 
 

@@ -123,6 +123,9 @@ def structure(t: Tables, options: Options) -> DataFrame:
     every = folder_sets(t).select("folder_set", F.explode(F.array(F.lit("Positive"), F.lit("Negative"))).alias("polarity")).join(had, list(BOTH), "left")
     inner = [Test(r, f"{n}/ is there", ~F.coalesce(F.array_contains("areas", n), F.lit(False))) for r, n in FOLDERS]
     again = [Test("M1", "SITGrader has one chunk_run folder; the latest counts", F.col("grades") > 1, late & (F.col("grades") > 1), status="WARN")]
+    version = F.when(late, t.versions["Disagreements"]).otherwise(t.versions["Agreements"])
+    tests.append(Test("S2", "the version folder is named by its date", ~version.rlike(f"^{X.VERSION}$")))
+    tests.append(Test("S14", "grader output lies in Disagreements alone", F.coalesce("grades", F.lit(0)) + F.coalesce("misc", F.lit(0)) > 0, ~late & (F.coalesce("grades", F.lit(0)) + F.coalesce("misc", F.lit(0)) > 0), "PASS"))
     return judged(sets, "1-2. Folder Structure", tests, F.col("folder_set")).unionByName(judged(sets, "8. Metadata / Engine / Chunk labels", again, F.col("latest"))).unionByName(judged(every, "1-2. Folder Structure", inner, F.col("polarity"), BOTH))
 
 
@@ -190,10 +193,8 @@ def parity(t: Tables, options: Options) -> DataFrame:
 def context(t: Tables, options: Options) -> DataFrame:
     category, by = "3. context_output_normalized", ("folder_set", "name")
     fine = F.col("_corrupt_record").isNull()
-    scope = Window.partitionBy(*by)
-    rows = t.context.where(fine)
-    for c in [*CONTEXT_FIELDS]:
-        rows = rows.withColumn(f"{c}_used", F.max(F.col(c).isNotNull()).over(scope))
+    there = t.context.where(fine).groupBy(*by).agg(*[F.bool_or(F.col(c).isNotNull()).alias(f"{c}_used") for c in CONTEXT_FIELDS])
+    rows = t.context.where(fine).join(there, list(by))
     where = F.col("pos")
     category_text = F.lower(X.strip(X.text_of(F.col("sit_category"))))
     tests = [
@@ -207,12 +208,14 @@ def context(t: Tables, options: Options) -> DataFrame:
     language = F.coalesce(X.text_of(F.col("language")), *[F.try_variant_get(w, "$.language", "string") for w in WINDOWS])
     counted = rows.select(*by, language.alias("lang"), X.text_of(F.col("value")).alias("value")).where("lang is not null and lang <> ''")
     tally = counted.groupBy(*by, "lang").agg(F.count("*").alias("n"))
-    main = tally.groupBy(*by).agg(F.max_by("lang", "n").alias("main"))
+    main = tally.groupBy(*by).agg(F.max_by("lang", F.struct("n", "lang")).alias("main"))
+    soft = judged(there, category, [Test("C4", f"{c} is in the schema", ~F.col(f"{c}_used"), None, "PASS") for c in CONTEXT_FIELDS if c != "confidence"], F.col("name"), by)
+    spoken = judged(tally.join(main, list(by)), category, [Test("C7", "one language is spoken", F.col("lang") != F.col("main"), None, "PASS")], F.col("lang"), by)
     mixed = judged(counted.join(main, list(by)), category, [Test("C8", "all records are in one language", F.col("lang") != F.col("main"), status="WARN")], F.col("value"), by)
     total = t.summary.select("folder_set", X.first_present(F.col("v"), ["$.counts.total", "$.counts.Total"]).alias("total"))
     sized = t.context.where(fine).groupBy(*by).agg(F.count("*").alias("n")).join(total, "folder_set", "left")
     counts = judged(sized, category, [Test("C1", "as many records as documents", F.col("n") < F.col("total") * options.ratio, silent=False)], F.col("n"), by)
-    return union([whole, counts, judged(rows, category, tests, where, by), mixed])
+    return union([whole, counts, judged(rows, category, tests, where, by), soft, spoken, mixed])
 
 
 @rules
@@ -344,13 +347,24 @@ def composition(t: Tables, options: Options) -> DataFrame:
     one = rows.withColumn("bucket", bucket()).groupBy("folder_set").agg(F.count("*").alias("n"), F.count_if(~F.col("bucket").isin(BUCKETS)).alias("other")).join(total, "folder_set", "left")
     out = [judged(one, "Label Distribution", [Test("D1", "labels cover all documents", F.col("n") != F.col("total"), F.col("total").isNotNull()), Test("D2", "documents without a known label are noted", F.lit(False), F.col("other") > 0)], F.col("other"))]
     out.append(judged(one, "Document Format Distribution", [Test("D3", "formats cover all documents", F.col("n") != F.col("total"), silent=False)], F.col("n")))
-    pairs = F.array(*[F.struct(F.lit(k).alias("dimension"), F.coalesce(F.nullif(X.strip(field(f, v="v")), F.lit("")), F.lit("(missing)")).alias("value")) for k, f in DIMENSIONS.items() if k != "format"])
+    forms = rows.groupBy("folder_set", F.lower(F.coalesce(F.nullif(X.strip(field("file_format", v="v")), F.lit("")), F.lit("unknown"))).alias("form")).agg(F.count("*").alias("n"))
+    out.append(judged(forms, "Document Format Distribution", [Test("D3", "every document has a format", F.col("form") == "unknown", None, "PASS")], F.concat_ws(": ", "form", "n")))
+    business = [k for k in DIMENSIONS if k != "format"]
+    pairs = F.array(*[F.struct(F.lit(k).alias("dimension"), F.coalesce(F.nullif(X.strip(field(DIMENSIONS[k], v="v")), F.lit("")), F.lit("(missing)")).alias("value")) for k in business])
     counted = rows.select("folder_set", F.explode(pairs).alias("p")).select("folder_set", "p.*").groupBy("folder_set", "dimension", "value").agg(F.count("*").alias("n"))
-    top = counted.groupBy("folder_set", "dimension").agg((F.max("n") / F.sum("n")).alias("share"))
-    out.append(judged(top, "Business Context Balance", [Test("D4", "one value holding 80 % or more is noted", F.lit(False))], F.col("share"), ("folder_set", "dimension")))
-    values = F.flatten(F.map_values(F.try_variant_get("v", "$.sit_values", "map<string,array<string>>")))
-    used = rows.select("folder_set", F.explode(values).alias("value")).groupBy("folder_set", X.normal_name(F.col("value")).alias("form")).agg(F.count("*").alias("n"))
-    out.append(judged(used, "SIT Value Reuse", [Test("D12", "reused values are noted", F.lit(False))], F.col("form")))
+    top = counted.groupBy("folder_set", "dimension").agg((F.max("n") / F.sum("n")).alias("share"), F.max_by("value", F.struct("n", "value")).alias("top"))
+    # Notes: what they count doesn't change the status.
+    out.append(judged(top, "Business Context Balance", [Test(f"D{4 + i}", f"no {k} holds 80 % of the documents or more", F.col("share") >= 0.8, F.col("dimension") == k, "PASS") for i, k in enumerate(business)], F.col("top")))
+    first = F.substring_index(F.col("bucket"), " ", 1)
+    difficulty = F.when(first.isin("easy", "hard"), first).otherwise("unknown")
+    for rule, side, name in (("D12", "positive", "sit_values"), ("D13", "negative", "lookalike_values")):
+        values = F.flatten(F.map_values(F.try_variant_get("v", f"$.{name}", "map<string,array<string>>")))
+        used = rows.withColumn("bucket", bucket()).select("folder_set", difficulty.alias("difficulty"), X.text_of(raw("doc_id", "v")).alias("doc_id"), F.explode(values).alias("value"))
+        forms = used.groupBy("folder_set", X.normal_name(F.col("value")).alias("form")).agg(F.count("*").alias("n"), F.min("difficulty").alias("low"), F.max("difficulty").alias("high"), F.min("doc_id").alias("doc_id"))
+        again, alike = F.col("n") > 1, F.col("low") == F.col("high")
+        shapes = [(k, alike & (F.col("low") == k)) for k in ("easy", "hard")] + [("mixed", ~(alike & F.col("low").isin("easy", "hard")))]
+        tests = [Test(rule, f"{side} values are used once", again, None, "PASS"), *[Test(rule, f"no {side} value is reused, {k}", again & at, None, "PASS") for k, at in shapes]]
+        out.append(judged(forms, "SIT Value Reuse", tests, F.col("doc_id")))
     return union(out)
 
 
@@ -361,15 +375,14 @@ def composition(t: Tables, options: Options) -> DataFrame:
 def instances(t: Tables, options: Options) -> DataFrame:
     from corvane.plans.fields import REQUIRED, SCHEMA_AWARE
 
-    rows = sampled(t, options, t.instances).persist()
+    rows = sampled(t, options, t.instances)
     who = F.concat_ws("#", "name", "pos")
     present, semantic = X.to_bool(raw("keyword_present")), X.to_bool(raw("semantic_ground_truth"))
     expected, actual = X.to_bool(raw("expected_engine_match")), X.to_bool(raw("actual_engine_match"))
     mandatory = F.lower(X.strip(field("sit_extensions.keyword_requirement"))) == "mandatory"
     positive = F.col("polarity") == "Positive"
-    wide = rows
-    for f in SCHEMA_AWARE:
-        wide = wide.withColumn(f"used_{f}", F.max(~X.is_empty(raw(f))).over(Window.partitionBy(*BOTH)))
+    there = rows.groupBy(*BOTH).agg(*[F.bool_or(~X.is_empty(raw(f))).alias(f"used_{f}") for f in SCHEMA_AWARE])
+    wide = rows.join(F.broadcast(there), list(BOTH))  # at most four rows
     parts = [
         judged(rows, "Metadata Instance Fields", [Test("N1", f"{f} is never empty", X.is_empty(raw(f))) for f in REQUIRED] + [Test("N7", "a keyword goes with keyword_present", present != ~X.is_empty(raw("keyword")), present.isNotNull())], who, BOTH),
         judged(wide, "Metadata Instance Fields", [Test(f"N{2 + i}", f"{f} is never empty where it is used", X.is_empty(raw(f)), F.col(f"used_{f}")) for i, f in enumerate(SCHEMA_AWARE)], who, BOTH),
@@ -471,10 +484,10 @@ def context_join(t: Tables, options: Options) -> DataFrame:
 def scenarios(t: Tables, options: Options) -> DataFrame:
     """Scenario ids of documents against the corpus and combined rows."""
     last = lambda df, n: J.last_wins(df.where(~F.col("bad")).select("folder_set", field("doc_id", v="v").alias("doc_id"), "line", field("scenario_id", v="v").alias(n)), ["folder_set", "doc_id"], ["line"]).withColumn(f"in_{n}", F.lit(True)).drop("line")
-    rows = sampled(t, options, t.metadata.where(X.is_object(F.col("v")))).select("folder_set", "name", field("doc_id", v="v").alias("doc_id"), field("scenario_id", v="v").alias("own"))
+    rows = sampled(t, options, t.metadata.where(X.is_object(F.col("v")))).select("folder_set", "name", field("doc_id", v="v").alias("doc_id"), field("scenario_id", v="v").alias("own"), X.slug(field("sit_name", v="v")).alias("entity"))
     both = rows.join(last(t.corpus, "corpus"), ["folder_set", "doc_id"], "left").join(last(t.combined, "combined"), ["folder_set", "doc_id"], "left")
     has = F.coalesce(F.col("own") != "", F.lit(False))
-    tests = [Test("Q1", "documents have a scenario", ~has)]
+    tests = [Test("Q1", "documents have a scenario", ~has), Test("Q2", "the scenario begins with the entity's name", ~F.startswith(X.without_hashes(X.slug(F.col("own"))), F.col("entity")), has & (F.col("entity") != ""), "PASS")]
     for i, n in enumerate(("corpus", "combined")):
         there = F.coalesce(F.col(f"in_{n}"), F.lit(False))
         tests += [Test(f"Q{3 + i}", f"the scenario is the {n} row's", ~F.col("own").eqNullSafe(F.col(n)), has & there), Test(f"Q{5 + i}", f"documents have a {n} row", ~there, has, "WARN")]
@@ -508,4 +521,30 @@ def grader(t: Tables, options: Options) -> DataFrame:
         Test("T6", "there is a grade for each record", F.col("grades") != total, (F.col("grades") + total).isNotNull()),
         Test("T10", "evaluations are readable and complete", (F.col("bad_evaluations") > 0) | (F.col("evaluations") != total), F.col("evaluations").isNotNull()),
     ]
-    return judged(one, "SITGrader Consistency", tests, F.col("name"))
+    # The second summary, the labels that evaluations give, and the manifest.
+    keys = ["total_chunk_value_records", "agreements", "disagreements", "agreement_rate"]
+    counted = lambda df, k: df.where(~F.col("bad") & X.is_object(F.col("v"))).groupBy("folder_set", X.text_of(raw(k, "v")).alias("label")).agg(F.count("*").alias("n")).where("label is not null").groupBy("folder_set").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias(f"{k}s"))
+    listed = t.manifest.groupBy("folder_set").agg(F.count("*").alias("listed"), F.count_if(F.try_variant_get("v", "$.agreement", "boolean")).alias("agreed"), F.count_if(~F.try_variant_get("v", "$.agreement", "boolean")).alias("differ"))
+    second = t.chunk_summary.select("folder_set", "name", F.col("v").alias("first"), F.col("error").alias("first_error")).join(t.misc_summary.select("folder_set", "v", "error", F.lit(True).alias("there")), "folder_set", "left")
+    second = second.join(listed, "folder_set", "left").join(counted(t.evaluations, "chunk_label"), "folder_set", "left").join(counted(t.evaluations, "grader_label"), "folder_set", "left")
+    fine = F.col("there").isNotNull() & F.col("error").isNull() & X.is_object(F.col("v"))
+    labels = lambda k: F.transform_keys(F.try_variant_get("v", f"$.{k}", "map<string,long>"), lambda x, _: F.lower(x))
+    seen = lambda k: F.transform_keys(F.col(k), lambda x, _: F.lower(x))
+    same = lambda a, b: F.sort_array(F.map_entries(a)) == F.sort_array(F.map_entries(b))
+    has = lambda k: F.coalesce(F.size(labels(k)) > 0, F.lit(False))
+    done, undone, odd = n("evaluated_documents"), n("unevaluated_documents"), n("disagreement_documents")
+    more = [
+        Test("T7", "the second summary is readable", ~fine),
+        Test("T8", "its agreements and disagreements add up", agreed + other != total, fine & (agreed + other + total).isNotNull()),
+        Test("T8", "its rate is a share", (rate < 0) | (rate > 1), fine & rate.isNotNull()),
+        Test("T8", "its rate is what the counts give", F.abs(rate - agreed / total) > 0.01, fine & (total > 0) & rate.isNotNull() & agreed.isNotNull(), "WARN"),
+        *[Test("T9", f"{k} is the same in both summaries", ~F.try_variant_get("first", f"$.{k}", "double").eqNullSafe(n(k, "double")), fine & F.col("first_error").isNull(), "WARN") for k in keys],
+        Test("T11", "chunk labels are those of the summary", ~F.coalesce(same(seen("chunk_labels"), labels("source_labels")), F.lit(False)), fine & has("source_labels"), "WARN"),
+        Test("T12", "grader labels are those of the summary", ~F.coalesce(same(seen("grader_labels"), labels("grader_labels")), F.lit(False)), fine & has("grader_labels"), "WARN"),
+        Test("T13", "the manifest is there", F.col("listed").isNull()),
+        Test("T13", "the manifest lists every document", F.col("listed") != done + undone, fine & (F.col("listed") + done + undone).isNotNull()),
+        Test("T14", "the manifest has the agreeing documents", F.col("agreed") != done - odd, fine & (F.col("agreed") + done + odd).isNotNull()),
+        Test("T14", "the manifest has the disagreeing documents", F.col("differ") != odd, fine & (F.col("differ") + odd).isNotNull()),
+    ]
+    category = "SITGrader Consistency"
+    return judged(one, category, tests, F.col("name")).unionByName(judged(second, category, more, F.col("name")))

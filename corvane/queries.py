@@ -362,12 +362,8 @@ def minhash_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
     return M.banded_pairs(M.shingled(table(spark, d, "documents"), "doc_id", "text", None))
 
 
-#: Frequent short words of each language.
-STOP_WORDS = {"en": ["the", "of", "and", "to", "in", "is", "that"], "de": ["der", "die", "und", "in", "den", "von", "zu"], "fr": ["de", "la", "le", "et", "les", "des", "en"], "es": ["de", "la", "que", "el", "en", "y", "los"]}
-
-
 @query("""WITH w AS (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*') AS words FROM documents WHERE text IS NOT NULL),
-s AS (SELECT lang, len(words) AS n, """ + ", ".join(f"len(list_filter(words, lambda x: x IN ({', '.join(repr(w) for w in ws)}))) AS {k}_n" for k, ws in STOP_WORDS.items()) + """ FROM w WHERE len(words) >= 6),
+s AS (SELECT lang, len(words) AS n, """ + ", ".join(f"len(list_filter(words, lambda x: x IN ({', '.join(repr(w) for w in ws)}))) AS {k}_n" for k, ws in X.STOP_WORDS.items()) + """ FROM w WHERE len(words) >= 6),
 g AS (SELECT lang, n, CASE WHEN greatest(en_n, de_n, fr_n, es_n) = 0 THEN NULL WHEN en_n >= greatest(de_n, fr_n, es_n) THEN 'en' WHEN de_n >= greatest(fr_n, es_n) THEN 'de' WHEN fr_n >= es_n THEN 'fr' ELSE 'es' END AS guess FROM s)
 SELECT lang, count(*) AS checked, CAST(sum(n) AS BIGINT) AS assessed, CAST(coalesce(sum(n) FILTER (guess <> lang), 0) AS BIGINT) AS unexpected,
   round(1 - coalesce(sum(n) FILTER (guess <> lang), 0) / sum(n), 6) AS purity FROM g WHERE guess IS NOT NULL GROUP BY lang""")
@@ -376,7 +372,7 @@ def language_purity(spark: SparkSession, d: str) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]*"), F.lit(0))
     rows = table(spark, d, "documents").select("lang", words.alias("w")).where(F.size("w") >= 6)
     among = lambda known: F.size(F.filter("w", lambda x: x.isin(known)))
-    hits = F.array(*[F.struct(among(known).alias("n"), F.lit(-i).alias("early"), F.lit(lang).alias("lang")) for i, (lang, known) in enumerate(STOP_WORDS.items())])
+    hits = F.array(*[F.struct(among(known).alias("n"), F.lit(-i).alias("early"), F.lit(lang).alias("lang")) for i, (lang, known) in enumerate(X.STOP_WORDS.items())])
     guessed = rows.select("lang", F.size("w").cast("long").alias("n"), F.array_max(hits).alias("best")).where("best.n > 0")
     odd = F.when(F.col("best.lang") != F.col("lang"), F.col("n")).otherwise(0)
     out = guessed.groupBy("lang").agg(F.count("*").alias("checked"), F.sum("n").alias("assessed"), F.sum(odd).alias("unexpected"))

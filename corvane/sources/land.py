@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from pathlib import Path
 
 import pandas as pd
@@ -44,6 +44,14 @@ class Tables:
     chunk_summary: DataFrame
     listing: DataFrame  # folder_set, polarity, line, v, bad: metadata/index.jsonl
     versions: dict[str, str]  # folder_set: name of the version folder that it lies in
+    misc_summary: DataFrame  # the grader's second summary, and its lines for each document
+    manifest: DataFrame
+
+    def release(self) -> None:
+        """Let go of what is held in memory; a run that is landed again is then read again."""
+        for f in fields(self):
+            if isinstance(held := getattr(self, f.name), DataFrame):
+                held.unpersist()
 
     @property
     def instances(self) -> DataFrame:
@@ -164,4 +172,5 @@ def land(spark: SparkSession, run_path: str | Path) -> Tables:
         context.persist(), chunks, index_file, _lines(read([g / "misc/chunk_evaluations.jsonl" for g in grader], whole=False)),
         _lines(read([p / "chunk_grades.jsonl" for p in latest], whole=False)), _parsed(read([p / "chunk_summary.json" for p in latest])),
         _lines(read([o / "metadata" for o in outputs], "index.jsonl", whole=False), "polarity"), {"Agreements": root.name if root.name.startswith("Version_") else root.parent.name, "Disagreements": root.name},
+        _parsed(read([g / "misc/evaluation_summary.json" for g in grader])), _lines(read([g / "misc/evaluation_manifest.jsonl" for g in grader], whole=False)),
     )

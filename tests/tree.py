@@ -18,7 +18,7 @@ def lines(rows) -> str:
     return "".join(json.dumps(r) + "\n" for r in rows)
 
 
-def build(top: Path) -> Path:
+def build(top: Path, graded: bool = False) -> Path:
     root = top / ENTITY / VERSION
     combined, context, index = [], [], {}
     for k in range(6):
@@ -52,5 +52,14 @@ def build(top: Path) -> Path:
     write(root / "context_output_normalized/all.json", context)
     write(root / "sit_inverted_index.json", {ENTITY: index})
     write(root / "export_summary.json", {"sit_name": ENTITY, "version": VERSION, "output_dir": f"/data/{VERSION}", "counts": {"positive": 3, "negative": 3, "total": 6}, "normalized_context": {"records": 6, "ground_truth": {"true": 3, "false": 3}}})
+    grader = root / "Disagreements/SITGrader"
+    scores = {"total_chunk_value_records": 4, "agreements": 3, "disagreements": 1, "agreement_rate": 0.75}
+    if graded:
+        write(grader / "chunk_run_1/chunk_summary.json", scores)
+        write(grader / "chunk_run_1/chunk_grades.jsonl", lines([{"grade": i} for i in range(4)]))
+        more = {"source_labels": {"true": 2, "false": 2}, "grader_labels": {"true": 3, "false": 1}, "evaluated_documents": 3, "unevaluated_documents": 1, "disagreement_documents": 1}
+        write(grader / "misc/evaluation_summary.json", scores | more)
+        write(grader / "misc/chunk_evaluations.jsonl", lines([{"chunk_label": i < 2, "grader_label": i < 3, "chunk_content": "x"} for i in range(4)]))
+        write(grader / "misc/evaluation_manifest.jsonl", lines([{"document_name": f"d{i}", "chunk_value_records": 1, "agreement": x} for i, x in enumerate([True, True, False, None])]))
     write(root / "generation_log.json", {"schema_version": "1", "dataset_version": VERSION, "generated_at": "now", "sit_name": ENTITY, "generator": {"model": "m", "model_version": "1"}, "sit_grader": {"model": "m"}, "mce": {"version": "1"}, "docparser": {"version": "1"}})
     return root
