@@ -6,7 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from corvane.queries import ORACLES, QUERIES, flagship
+from corvane import catalogue_queries as catalogue
+from corvane import queries as audit
+from corvane.catalogue_queries import flagship
+
+QUERIES, ORACLES = audit.QUERIES | catalogue.QUERIES, audit.ORACLES | catalogue.ORACLES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,7 +41,7 @@ def test_same_as_sql(spark, db, name):
 
 def test_flagship_ends_with_the_verdict(spark):
     rows = flagship(spark, str(DATA)).collect()
-    assert [r.status for r in rows if r.category == "verdict"][0] in ("READY", "READY WITH WARNINGS", "NOT READY")
+    assert [r.status for r in rows if r.rule == "verdict"][0] in ("READY", "READY WITH WARNINGS", "NOT READY")
 
 
 def test_banded_pairs_find_what_exact_pairs_find(spark):
