@@ -15,7 +15,9 @@ that what a lost or repeated task has left behind is never read.
 Payloads are HTML in UTF-8; null HTML is an empty payload. Among records with
 equal payloads of at least MIN_REVISIT bytes those with the smallest id are
 responses and the others revisits of it. A null id is larger than all; if all are
-null, all are responses. An empty table gives no archive and no rows.
+null, all are responses, and so are rows that repeat the smallest id. A very long
+payload is one record. Only the three named columns are read, so that other names
+can't clash. An empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, text_chunks
+from .common import materialize, new_path, scratch, text_chunks
 
 ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT = 100
@@ -231,9 +233,16 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, html, refers_to) of each row; refers_to is null for responses."""
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= MIN_REVISIT, F.sha2("html", 256)))
-    firsts = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    joined = rows.join(firsts, "digest", "left")
-    return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # Only ids and digests meet by digest, so that a popular payload goes to no single task; texts meet what is known of them by id.
+    with scratch(pages.sparkSession) as stay:
+        digests = materialize(rows.where("digest is not null").select("page_id", "digest"), "digests")
+        firsts = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+        firsts = materialize(firsts, "firsts")
+        late = digests.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("late_id"), F.col("digest").alias("late_digest"), F.col("first").alias("refers_to"))
+        late = materialize(late.distinct(), "revisits")
+        stay.append(late)
+    joined = rows.join(late, F.col("page_id").eqNullSafe(F.col("late_id")) & (F.col("digest") == F.col("late_digest")), "left")
+    return joined.select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
