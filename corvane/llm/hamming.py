@@ -17,7 +17,8 @@ Defined cases: null vectors, and vectors shorter or longer than `dimensions`,
 are neither queries nor neighbours; null numbers give a 0 bit; rows without an id
 are left out; of rows that repeat an id each is a neighbour, in results by id
 and distance. Ties go to the smaller id. Fewer than k others give fewer rows; an
-empty table none.
+empty table none. Only the two named columns are read, so that other names can't
+clash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = 64
+#: Bits of a segment. About as many as the number of codes has, so that a segment's value has few postings.
+WIDTH = 16
 
 
 def code_words(vector: Column, dimensions: int) -> list[Column]:
@@ -48,7 +51,7 @@ def distance(left: list[Column], right: list[Column]) -> Column:
     return total
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int, dimensions: int = 64, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int, dimensions: int = 64, width: int = WIDTH, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, neighbor_id, distance): the k nearest other rows of each row for which queries holds."""
     n_words = -(-dimensions // WORD)
     names = [f"w{i}" for i in range(n_words)]
@@ -59,8 +62,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int, dimensions: int = 64, w
     listed = coded.select("id", *names).withColumn("turn", turn).where(F.col("turn") <= k + 1)
     index = materialize(listed.groupBy(*names).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids")), "index")
     asked = materialize(coded.where("asks").select(*[F.col(n).alias(f"q{n}") for n in names]).distinct(), "asked")
-    if width is None:
-        width = 16 if index.count() >= 20_000 else 8
     if WORD % width or (dimensions > WORD and dimensions % width):
         raise ValueError("the segment width must divide 64 and the dimensions")
     places = [(i, s) for i in range(n_words) for s in range(0, min(WORD, dimensions - i * WORD), width)]

@@ -17,7 +17,7 @@ def plain(rows, k, asks, dimensions):
     return sorted(out)
 
 
-def found(spark, rows, k, dimensions=64, width=None):
+def found(spark, rows, k, dimensions=64, width=16):
     df = spark.createDataFrame(rows, SCHEMA)
     return sorted(map(tuple, nearest(df, df["vec_id"] % 10 == 0, k, dimensions, width).collect()))
 
