@@ -219,9 +219,9 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """About `rows` labelled rows that pass the base rule; label 0 is bad."""
+    """About `rows` labelled rows, drawn by hash, that pass the base rule, one for each id; label 0 is bad."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
-    total, scale = known.count(), 1 << 20
-    drawn = known if total <= rows else known.where(F.pmod(F.xxhash64(id_col), F.lit(scale)) < scale * rows // total)
-    joined = stats.where(~F.col("base_failed")).join(drawn, id_col).select(id_col, *STATS, (F.col("label") == 0).alias("bad"), F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(3)).alias("part"))
-    return joined.limit(4 * rows).toPandas().sort_values(id_col, kind="stable")
+    share = rows / max(known.count(), 1)
+    drawn = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < share * (1 << 40))
+    joined = stats.where(~F.col("base_failed")).join(drawn, id_col).groupBy(id_col).agg(F.min(F.struct(*STATS, (F.col("label") == 0).alias("bad"))).alias("row"))
+    return joined.select(id_col, "row.*", F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.lit(3)).alias("part")).toPandas().sort_values(id_col, kind="stable")
