@@ -8,14 +8,24 @@ hides them), puts blocks on lines of their own with a blank line around
 paragraphs, headings, lists and tables, indents list items under their marks,
 keeps white space in <pre>, and pads the cells of a table to common columns.
 
+Elements with `visibility: hidden` keep their place; what is visible again inside
+them is shown. A closed dialog is hidden; what a <details> holds is shown. Cells
+stand in the columns that spans of columns and rows leave them; a cell over
+several columns widens the last of them.
+
 Defined cases: null or empty HTML gives empty text. Broken markup never fails:
-a "<" that starts no tag is text, an open comment or tag runs to the end. Each
-row is independent, and an empty table gives an empty result.
+a "<" that starts no tag is text, an open comment or tag runs to the end. Very
+long and very deep pages take time in proportion to their length. Each row is
+independent, so that repeated rows and ids have results of their own; an empty
+table gives an empty result. Only the two named columns are read, so that other
+names can't clash.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -52,7 +62,6 @@ TABLE_PARTS = frozenset(["table", "td", "th", "tr", "caption"])
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -69,34 +78,41 @@ class Node:
                 return unescape(m[2] or m[3] or m[4] or "")
         return None
 
-    def hidden(self) -> bool:
-        if self.tag in UNSEEN:
+    def style(self) -> dict[str, str]:
+        """Properties of the inline style, in lower case."""
+        if "style" not in self.attributes.lower():
+            return {}
+        pairs = (x.split(":", 1) for x in (self.attribute("style") or "").lower().split(";") if ":" in x)
+        return {name.strip(): value.replace("!important", "").strip() for name, value in pairs}
+
+    def hidden(self, style: dict[str, str]) -> bool:
+        """Whether nothing inside can be seen."""
+        if self.tag in UNSEEN or self.tag == "dialog" and self.attribute("open") is None:
             return True
-        if not self.attributes:
-            return False
-        low = self.attributes.lower()
-        if "hidden" in low and (self.attribute("hidden") is not None or (self.tag == "input" and self.attribute("type") == "hidden")):
+        if "hidden" in self.attributes.lower() and (self.attribute("hidden") is not None or (self.tag == "input" and self.attribute("type") == "hidden")):
             return True
-        return "style" in low and bool(_HIDES.search(self.attribute("style") or ""))
+        return style.get("display") == "none" or style.get("content-visibility") == "hidden"
 
 
 def build(html: str) -> Node:
     """The element tree of a page."""
     root = Node("#root")
-    stack, names, at, size = [root], ["#root"], 0, len(html)
+    stack, at, size = [root], 0, len(html)
+    depths: dict[str, list[int]] = defaultdict(list)  # of each tag: where in the stack it is open
 
     def cut(depth: int) -> None:
-        del stack[depth:], names[depth:]
+        for node in stack[depth:]:
+            depths[node.tag].pop()
+        del stack[depth:]
+
+    def last(tags: frozenset[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=0)
 
     def nearest(wanted: frozenset[str], barrier: frozenset[str]) -> int:
         """Depth of the outermost open element of wanted above the barrier; 0 if there is none."""
-        found = 0
-        for depth in range(len(names) - 1, 0, -1):
-            if names[depth] in barrier:
-                break
-            if names[depth] in wanted:
-                found = depth
-        return found
+        above = last(barrier)
+        found = [d[k] for t in wanted if (d := depths[t]) and (k := bisect_right(d, above)) < len(d)]
+        return min(found, default=0)
 
     def put(text: str) -> None:
         if text:
@@ -125,16 +141,12 @@ def build(html: str) -> Node:
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            if tag == "p" and "p" not in names:
+            if tag == "p" and not depths["p"]:
                 stack[-1].children.append(Node("p"))
-            elif tag in names:
-                depth = len(names) - 1
-                while names[depth] != tag and (names[depth] not in P_BARRIER or tag in TABLE_PARTS):
-                    depth -= 1
-                if names[depth] == tag:
-                    cut(depth)
+            elif depths[tag] and (tag in TABLE_PARTS or depths[tag][-1] >= last(P_BARRIER)):
+                cut(depths[tag][-1])
             continue
-        if tag in CLOSES_P and "p" in names and (depth := nearest(frozenset(["p"]), P_BARRIER)):
+        if tag in CLOSES_P and depths["p"] and (depth := nearest(frozenset(["p"]), P_BARRIER)):
             cut(depth)
         if tag in IMPLIED and (depth := nearest(*IMPLIED[tag])):
             cut(depth)
@@ -148,8 +160,8 @@ def build(html: str) -> Node:
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else size
             continue
+        depths[tag].append(len(stack))
         stack.append(node)
-        names.append(tag)
     return root
 
 
@@ -158,32 +170,48 @@ class Page:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []
+        self.some = False  # whether the line has anything but spaces
         self.blank = False
 
     def text(self, value: str) -> None:
         value = _SPACE.sub(" ", value)
-        if not self.line or self.line.endswith(" "):
+        if not self.parts or self.parts[-1].endswith(" "):
             value = value.lstrip(" ")
-        self.line += value
+        self.put(value)
+
+    def put(self, value: str) -> None:
+        if value:
+            self.parts.append(value)
+            self.some = self.some or bool(value.strip())
 
     def verbatim(self, value: str) -> None:
         first, *others = value.replace("\r\n", "\n").split("\n")
-        self.line += first
+        self.put(first)
         for x in others:
-            if self.line.strip():
-                self.end_line()
-            else:
-                self.lines.append("")
-            self.line = x
+            self.break_line()
+            self.put(x)
+
+    def break_line(self) -> None:
+        """End the line, if only to leave it empty."""
+        if self.some:
+            self.end_line()
+            return
+        self.parts.clear()
+        if self.lines and self.blank:
+            self.lines.append("")
+            self.blank = False
+        if self.lines:
+            self.lines.append("")
 
     def end_line(self) -> None:
-        if self.line.strip():
+        if self.some:
             if self.blank and self.lines:
                 self.lines.append("")
-            self.lines.append(self.line.rstrip())
+            self.lines.append("".join(self.parts).rstrip())
             self.blank = False
-        self.line = ""
+        self.parts.clear()
+        self.some = False
 
     def gap(self) -> None:
         self.end_line()
@@ -198,27 +226,58 @@ class Page:
             self.lines += lines
             self.blank = False
 
+    def done(self) -> list[str]:
+        self.end_line()
+        while self.lines and not self.lines[-1]:
+            self.lines.pop()
+        return self.lines
+
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned) as text with common column starts."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
+#: Lines of a cell, and the columns and rows that it spans; 0 rows: all that follow.
+Cell = tuple[list[str], int, int]
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns spanned, lines) of each row's cells; cells of rows before may hold columns."""
+    held: dict[int, int] = {}  # column: last row that holds it
+    out = []
+    for i, row in enumerate(rows):
+        at, cells = 0, []
+        for lines, span, deep in row:
+            while held.get(at, -1) >= i:
+                at += 1
+            cells.append((at, span, lines))
+            if deep != 1:
+                held |= dict.fromkeys(range(at, at + span), i + deep - 1 if deep else len(rows))
+            at += span
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Rows of cells as text with common column starts."""
+    widths: dict[int, int] = defaultdict(int)
+    laid = placed(rows)
+    for row in laid:
+        for at, span, lines in row:
             if span == 1:
                 widths[at] = max([widths[at], *map(len, lines)])
-            at += span
+    for row in laid:
+        for at, span, lines in row:
+            if span > 1:
+                room = sum(widths[k] for k in range(at, at + span)) + 2 * (span - 1)
+                widths[at + span - 1] += max([0, *(len(x) - room for x in lines)])
+    starts, start = {}, 0
+    for k in range(max((at + span for row in laid for at, span, _ in row), default=0)):
+        starts[k] = start
+        start += widths[k] + 2
     out = []
-    for row in rows:
-        for i in range(max([1, *(len(lines) for lines, _ in row)])):
-            line, at, start = "", 0, 0
-            for lines, span in row:
-                line = line.ljust(start)
-                line += ("" if at == 0 or not line or line.endswith("  ") else "  ") if len(line) > start else ""
-                line += lines[i] if i < len(lines) else ""
-                start += sum(widths[at : at + span]) + 2 * span
-                at += span
+    for row in laid:
+        for i in range(max([1, *(len(lines) for _, _, lines in row)])):
+            line = ""
+            for at, _, lines in row:
+                if i < len(lines):
+                    line = line.ljust(starts[at]) + lines[i]
             if line.strip():
                 out.append(line.rstrip())
     return out
@@ -230,23 +289,27 @@ def render(html: str | None) -> str:
         return ""
     pages: list[Page] = [Page()]
     lists: list[list] = []  # of each open list: its tag and next number
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[Cell]]] = []
+    seen = [True]  # of each open element that says so: whether its text is visible
     pre = 0
     work: list[tuple[Node | str, bool]] = [(build(html), True)]
     while work:
         node, opens = work.pop()
         page = pages[-1]
         if isinstance(node, str):
-            page.verbatim(node) if pre else page.text(node)
+            if seen[-1]:
+                page.verbatim(node) if pre else page.text(node)
             continue
         tag = node.tag
         if opens:
-            if node.hidden():
+            style = node.style() if node.attributes else {}
+            if node.hidden(style):
                 continue
             if tag == "br":
-                if page.line.strip():
-                    page.end_line()
+                page.break_line()
                 continue
+            visibility = style.get("visibility", "inherit")
+            seen.append(seen[-1] if visibility not in ("visible", "hidden", "collapse") else visibility == "visible")
             if tag in SPACED and not (tag in ("ul", "ol") and lists):
                 page.gap()
             elif tag in BLOCK:
@@ -265,29 +328,28 @@ def render(html: str | None) -> str:
             work.append((node, False))
             work += [(x, True) for x in reversed(node.children)]
             continue
+        seen.pop()
         if tag in ("pre", "textarea"):
             pre -= 1
             page.end_line()
         if tag == "li":
-            done = pages.pop()
-            done.end_line()
+            lines = pages.pop().done()
             mark = "- "
             if lists and lists[-1][0] == "ol":
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            if done.lines:
-                pages[-1].add([mark + done.lines[0], *((" " * len(mark) + x).rstrip() for x in done.lines[1:])])
+            if lines:
+                pages[-1].add([mark + lines[0], *((" " * len(mark) + x).rstrip() for x in lines[1:])])
             continue
         if tag in ("td", "th", "caption"):
-            done = pages.pop()
-            done.end_line()
+            lines = pages.pop().done()
             if tag == "caption" or not tables:
-                pages[-1].add(done.lines)
+                pages[-1].add(lines)
             else:
                 if not tables[-1]:
                     tables[-1].append([])
-                span = node.attribute("colspan") if node.attributes else None
-                tables[-1][-1].append((done.lines, min(int(span), 1000) if span and re.fullmatch(r"[1-9]\d{0,3}", span) else 1))
+                number = lambda name, most: min(int(x), most) if node.attributes and re.fullmatch(r"\d{1,5}", x := node.attribute(name) or "") else 1  # noqa: E731,B023
+                tables[-1][-1].append((lines, max(1, number("colspan", 1000)), number("rowspan", 65534)))
             continue
         if tag == "table" and tables:
             page.add(aligned(tables.pop()))
@@ -297,16 +359,16 @@ def render(html: str | None) -> str:
             page.gap()
         elif tag in BLOCK:
             page.end_line()
-    pages[0].end_line()
-    return "\n".join(pages[0].lines)
+    return "\n".join(pages[0].done())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id_col, text) of each row."""
-    source = pages.select(pages[id_col], pages[html_col].alias("_html"))
+    source = pages.select(pages[id_col].alias(id_col), pages[html_col].alias("_html" if id_col != "_html" else "_html_"))
+    html = source.columns[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, "_html"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x) for x in part.column("_html").to_pylist()], pa.string())], names=[id_col, "text"])
+        for part in text_chunks(batches, html):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([render(x) for x in part.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
     return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, text string")

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from corvane.llm.html_text import build, extract, render
@@ -39,3 +43,65 @@ def test_table(spark):
     got = sorted(str((r.page_id, r.text)) for r in extract(df).collect())
     assert got == sorted(str((i, render(h))) for i, h, _ in rows)
     assert extract(df.where("false")).collect() == []
+
+
+def test_layout_of_breaks_spans_and_visibility():
+    assert render("a<br><br>b") == "a\n\nb" and render("<pre>a\n\n\nb</pre>") == "a\n\n\nb" and render("<p>a<br></p><p>b</p>") == "a\n\nb"
+    assert render("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>") == "A  B\n   C"
+    assert render("<table><tr><td rowspan=0>A<td>B<tr><td>C<tr><td>D</table>") == "A  B\n   C\n   D"
+    wide = render("<table><tr><td colspan=2>a very long header<td>z<tr><td>1<td>2<td>3</table>").split("\n")
+    assert wide[0].index("z") == wide[1].index("3") and wide[1].index("2") == 3
+    assert render("x<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>") == "x\nyes"
+    assert render("<div style='content-visibility:auto'>a</div><div style='DISPLAY : none !important'>b</div><dialog>c</dialog><dialog open>d</dialog>") == "a\nd"
+
+
+def test_every_visible_word_once_and_in_order():
+    """A plain walk of random trees gives the words that the renderer gives."""
+    rnd = random.Random(11)
+    number = iter(range(10**9))
+
+    def made(depth, shown):
+        """(html, visible words) of some nodes."""
+        html, words = "", []
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.choice(["text", "text", "div", "p", "span", "ul", "table", "none", "invisible", "visible", "br", "script", "b", "blockquote", "ol", "section"])
+            if kind == "text" or depth > 5:
+                word = f"w{next(number)}"
+                html, words = html + f" {word} ", words + [word] * shown
+            elif kind == "p":  # a block inside would end it
+                word = f"w{next(number)}"
+                html, words = html + f"<p>{word}</p>", words + [word] * shown
+            elif kind == "br":
+                html += "<br>"
+            elif kind == "script":
+                html += "<script>if (a<b) { no }</script><!-- no -->"
+            elif kind == "none":
+                html += f"<div hidden>{made(depth + 1, shown)[0]}</div>"
+            elif kind in ("invisible", "visible"):
+                inner, inside = made(depth + 1, kind == "visible")
+                html, words = html + f"<span style='visibility:{'hidden' if kind == 'invisible' else 'visible'}'>{inner}</span>", words + inside
+            elif kind in ("ul", "ol"):
+                items = [made(depth + 1, shown) for _ in range(rnd.randint(1, 3))]
+                html, words = html + f"<{kind}>" + "<li>".join(["", *(h for h, _ in items)]) + f"</{kind}>", words + [w for _, ws in items for w in ws]
+            elif kind == "table":
+                cells = [[f"w{next(number)}" for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(1, 3))]
+                html, words = html + "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in row) for row in cells) + "</table>", words + [x for row in cells for x in row] * shown
+            else:
+                inner, inside = made(depth + 1, shown)
+                html, words = html + f"<{kind}>{inner}</{kind}>", words + inside
+        return html, words
+
+    for _ in range(300):
+        html, words = made(0, True)
+        assert re.findall(r"w\d+", render(html)) == words, html
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    def took(n):
+        start = time.process_time()
+        for page in ("<div>" * n + "x", "<p>" + "<span>x " * n, "<b>x</b>" * n, "<ul><li>" * n, "<p><i>" + "</p><p>" * n):
+            render(page)
+        return time.process_time() - start
+
+    took(500)
+    assert took(16_000) < 12 * took(4_000) + 1
