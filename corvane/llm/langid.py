@@ -13,8 +13,11 @@ texts don't move.
 
 Defined cases: texts that are null or have no letter are `und`, score 0,
 rejected. Texts are read whole, in blocks, so that memory doesn't grow with their
-length. Rows are independent; labels that are null teach nothing; without any
-label all is `und`. An empty table gives an empty result.
+length. Rows are independent, so that repeated rows and ids have results of their
+own (of rows that repeat an id and a label all teach); of equal cosines the
+centroid that comes first by label counts. Labels that are null teach nothing;
+without any label all is `und`. A carried column with the name of a result is left
+out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -317,7 +320,7 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
 
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, columns in carry, lang_pred, score, rejected) of each row. The model has a fixed largest size."""
-    carried = dict.fromkeys([id_col, *carry])
+    carried = dict.fromkeys(c for c in [id_col, *carry] if c not in ("lang_pred", "score", "rejected"))
     source = docs.select(*[docs[c].alias(f"in_{c}") for c in carried], *([] if text_col in carried else [docs[text_col].alias(f"in_{text_col}")]))
     kept = [T.StructField(c, docs.schema[c].dataType) for c in carried]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
