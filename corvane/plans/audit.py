@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 from corvane.functions import exprs as X
 from corvane.operators import aggregates as A
 from corvane.operators import similarity as M
-from corvane.plans.rules import BOTH, BUCKETS, CATALOGUE, DIMENSIONS, Options, bucket, field, raw
+from corvane.plans.rules import BOTH, BUCKETS, CATALOGUE, DIMENSIONS, Options, Rules, bucket, field, raw
 from corvane.sources.land import Tables, land
 from corvane.sources.runs import find_runs
 
 ORDER = {"FAIL": 0, "WARN": 1, "INFO": 2, "PASS": 3}
+#: Rules that are planned and run side by side: their jobs are small, and planning them takes most of the time.
+THREADS = 8
 #: Metric: strong, acceptable and weak minima, and whether a critical grade stops the delivery.
 METRICS = {
     "target_language_purity": (0.995, 0.99, 0.97, False), "sit_position_diversity": (0.85, 0.75, 0.6, True),
@@ -26,12 +29,15 @@ METRICS = {
 
 def results(t: Tables, options: Options = Options()) -> list[dict]:
     """Rows of all rules. A rule that fails to run becomes a FAIL row; the others go on."""
-    out = []
-    for rules in CATALOGUE:
+
+    def run(rules: Rules) -> list[dict]:
         try:
-            out += [r.asDict() for r in rules(t, options).collect()]  # a few rows for each rule
+            return [r.asDict() for r in rules(t, options).collect()]  # a few rows for each rule
         except Exception as e:
-            out.append({"rule": rules.__name__, "category": "(any)", "scope": "run", "title": f"Check crashed: {rules.__name__}", "status": "FAIL", "checked": 0, "bad": 1, "examples": [str(e)[:300]]})
+            return [{"rule": rules.__name__, "category": "(any)", "scope": "run", "title": f"Check crashed: {rules.__name__}", "status": "FAIL", "checked": 0, "bad": 1, "examples": [str(e)[:300]]}]
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        out = [row for rows in pool.map(run, CATALOGUE) for row in rows]
     return sorted(out, key=lambda r: (_leading(r["category"]), r["category"], ORDER[r["status"]], r["rule"], r["scope"]))
 
 

@@ -18,13 +18,13 @@ def lines(rows) -> str:
     return "".join(json.dumps(r) + "\n" for r in rows)
 
 
-def build(top: Path, graded: bool = False) -> Path:
+def build(top: Path, graded: bool = False, documents: int = 6, words: int = 0) -> Path:
     root = top / ENTITY / VERSION
     combined, context, index = [], [], {}
-    for k in range(6):
+    for k in range(documents):
         positive = k % 2 == 0
         polarity, stem, value = ("Positive" if positive else "Negative"), f"doc{k}", f"{k}23-456-{k}89"
-        text = f"Opening words number {k} of this document. " + "Filler text goes on here. " * k + f"The member keyword is {value} as stated in line {k}. Closing words follow."
+        text = f"Opening words number {k} of this document. " + "Filler text goes on here. " * (k % 12) + " ".join(f"word{k * j % 7919}" for j in range(words)) + f"The member keyword is {value} as stated in line {k}. Closing words follow."
         start = text.index(value)
         name = f"{stem}.docx"
         out = root / polarity / "outputs"
@@ -51,7 +51,7 @@ def build(top: Path, graded: bool = False) -> Path:
     write(root / "corpus.jsonl", lines(combined))
     write(root / "context_output_normalized/all.json", context)
     write(root / "sit_inverted_index.json", {ENTITY: index})
-    write(root / "export_summary.json", {"sit_name": ENTITY, "version": VERSION, "output_dir": f"/data/{VERSION}", "counts": {"positive": 3, "negative": 3, "total": 6}, "normalized_context": {"records": 6, "ground_truth": {"true": 3, "false": 3}}})
+    write(root / "export_summary.json", {"sit_name": ENTITY, "version": VERSION, "output_dir": f"/data/{VERSION}", "counts": {"positive": (documents + 1) // 2, "negative": documents // 2, "total": documents}, "normalized_context": {"records": documents, "ground_truth": {"true": (documents + 1) // 2, "false": documents // 2}}})
     grader = root / "Disagreements/SITGrader"
     scores = {"total_chunk_value_records": 4, "agreements": 3, "disagreements": 1, "agreement_rate": 0.75}
     if graded:
