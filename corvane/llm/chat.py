@@ -16,8 +16,9 @@ Defined cases: null texts and roles count as empty; a node whose parent doesn't
 exist is a root; a node without an id has no children; nodes on a cycle, and
 what hangs on one, are on no path to a root and give no conversation. Rows with
 a null tree id form one tree. Node ids are unique in a tree: of rows that
-repeat one, only the smallest by (role, text) is used. An empty table gives no
-rows. Other columns aren't read.
+repeat one, only the smallest by (role, text) is used. Branches that tie in score
+go by the smaller leaf. Very long texts are formatted whole. An empty table gives
+no rows. Other columns aren't read, so that their names can't clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ expression in the order of learning; a document that no rule rejects is kept.
 Defined cases: null and empty texts have no words and fail the base rule. Without
 labels of both kinds the list is empty and only the base rule decides. Labels
 that are null teach nothing; of repeated labels of an id the smallest counts.
-Repeated rows get equal results; an empty table gives an empty one.
+Of conditions with equal gain the first by statistic and threshold is taken.
+Very long texts are counted whole. Only the named columns are read, so that other
+names can't clash. Repeated rows get equal results; an empty table gives an empty
+one.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from .shingles import odd_numbers
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Labelled rows that come to the driver, about; of more, those with the smallest hashes of their id.
+#: Labelled rows that come to the driver, about: of more, a share drawn by hash of their id.
 SAMPLE_ROWS = 20_000
 MAX_RULES = 12
 MAX_CONDITIONS = 4

@@ -53,3 +53,10 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 1, None, "user", "x", 0.0)], SCHEMA)
     plan = chat.conversations(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_extra_columns_and_a_very_long_text(spark):
+    long = "<|im_end|> word " * 50_000
+    rows = [(1, 1, None, "user", long, 0.0, "a", 1), (1, 2, 1, "assistant", long, 0.0, "b", 2)]
+    df = spark.createDataFrame(rows, SCHEMA + ", up string, leaf int")
+    assert read(chat.conversations(df)) == {(1, 1): ([("user", long), ("assistant", long)], long, 2)}

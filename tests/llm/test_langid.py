@@ -53,3 +53,28 @@ def test_sample_is_bounded(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
     model = langid.fit(df, F.lit(True), per_language=5)
     assert model.languages == sorted(SYLLABLES) and len(model.centres) == 3
+
+
+def test_like_a_plain_classifier():
+    """Plain dictionaries and loops give the language and the cosine of the arrays."""
+    rows = corpus(200)
+    model = langid.fit_counts([lang for _, _, lang in rows[:150]], langid.trigram_counts([t for _, t, _ in rows[:150]]))
+
+    def bin_of(a, b, c):
+        x = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) % 2**32
+        x = ((x ^ (x >> 15)) * 0x2C1B3C6D) % 2**32
+        return x >> 20
+
+    for _, text, _ in rows[150:]:
+        words = "".join(c.lower() if c.isalpha() else " " for c in text).split()
+        counts = {}
+        for w in words:
+            for i in range(len(w)):
+                k = bin_of(*f" {w} "[i : i + 3])
+                counts[k] = counts.get(k, 0) + 1
+        weights = {k: (1 + np.log(n)) * float(model.idf[k]) for k, n in counts.items()}
+        norm = sum(v * v for v in weights.values()) ** 0.5
+        cosines = [sum(v * float(c[k]) for k, v in weights.items()) / norm for c in model.centres]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        names, scores, _ = model.predict(langid.trigram_counts([text]))
+        assert names == [model.languages[model.language_of[best]]] and abs(scores[0] - cosines[best]) < 1e-4
