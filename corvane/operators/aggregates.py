@@ -137,3 +137,13 @@ def top_examples(df: DataFrame, groups: list[str], order: list[str], example: st
     counts = df.groupBy(*groups).agg(F.count("*").alias("n"))
     first = df.withColumn("_turn", turn).where(F.col("_turn") <= k).groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("_turn", example))).alias("_found"))
     return counts.join(first, groups).select(*groups, "n", F.col("_found").getField(example).alias("examples"))
+
+
+def field_distribution(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, n) of lines(v, bad): how often each value of the fields occurs, as lower-case text; nulls don't count.
+
+    All fields in one pass; values are counted before the shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lower(X.strip(X.text_of(F.try_variant_get("v", f"$.{f}", "variant")))).alias("value")) for f in fields])
+    said = lines.where(~F.col("bad") & X.is_object(F.col("v"))).select(F.inline(pairs)).where("value is not null")
+    return said.groupBy("field", "value").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,15 @@ def field_mismatch(left: DataFrame, right: DataFrame, on: list[str], fields: dic
     return one.select("checked", F.inline(pairs)).select("field", "checked", "mismatched")
 
 
-def best_match(names: DataFrame, others: DataFrame, name: str, other: str, score: Column, threshold: float) -> DataFrame:
+def best_match(names: DataFrame, others: DataFrame, name: str, other: str, score: Column, threshold: float, keys: Callable[[Column], Column] = lambda tokens: tokens) -> DataFrame:
     """For each name the other name with the highest score of at least the threshold; of equals the first by text.
 
     Names and others hold arrays `l_tokens` and `r_tokens`. Only pairs that
     share a token meet: both sides are exploded by token and joined on it.
+    `keys` picks the tokens of which a pair that scores has one in common.
     """
-    a = names.select(name, "l_tokens", F.explode("l_tokens").alias("token"))
-    b = others.select(other, "r_tokens", F.explode("r_tokens").alias("token"))
+    a = names.select(name, "l_tokens", F.explode(keys(F.col("l_tokens"))).alias("token"))
+    b = others.select(other, "r_tokens", F.explode(keys(F.col("r_tokens"))).alias("token"))
     pairs = a.join(b, "token").drop("token").distinct().withColumn("score", score).where(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("score"), other))
     return pairs.withColumn("_rank", rank).where("_rank = 1").select(name, other, "score")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
+from corvane.functions import names as N
 from corvane.operators import aggregates as A
 from corvane.operators import joins as J
 from corvane.operators import samples as S
@@ -418,6 +419,51 @@ def best_name_match(spark: SparkSession, d: str) -> DataFrame:
     return J.best_match(names, types, "p_name", "p_type", score, 0.3).withColumn("score", F.round("score", 6))
 
 
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"""WITH placed AS (SELECT c_custkey, c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+names AS (SELECT DISTINCT n_name || ' ' || r_name || ' ' || c_mktsegment || ' Number' AS name FROM placed),
+others AS (SELECT DISTINCT r_name || '_' || o_orderpriority || '_' || c_mktsegment || ' v1 Data' AS other FROM orders JOIN placed ON o_custkey = c_custkey),
+words AS (SELECT name, list_filter(regexp_split_to_array(lower(replace(name, '.', '')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN {_listed(N.STOP_WORDS)}) AS w FROM (SELECT name FROM names UNION SELECT other FROM others)),
+plain AS (SELECT name, w, list_filter(w, lambda x: x NOT IN {_listed(N.QUALIFIERS)}) AS p FROM words),
+tokens AS (SELECT name, list_distinct(w || CASE WHEN len(p) BETWEEN 2 AND 6 THEN [array_to_string(list_transform(p, lambda x: x[1]), '')] ELSE [] END) AS t FROM plain),
+marked AS (SELECT name, t, list_min(list_filter(t, lambda x: x IN {_listed(N.QUALIFIERS)})) AS mark FROM tokens),
+pairs AS (SELECT a.name, b.name AS other, a.mark AS m, b.mark AS n, list_intersect(a.t, b.t) AS met, least(len(a.t), len(b.t)) AS smaller
+  FROM names JOIN marked a USING (name), others JOIN marked b ON others.other = b.name),
+scored AS (SELECT name, other, CASE WHEN len(list_filter(met, lambda x: x NOT IN {_listed(N.GENERIC + N.QUALIFIERS)})) = 0 OR coalesce(m <> n, false) THEN 0
+  WHEN smaller > 2 THEN len(met)::DOUBLE / smaller WHEN len(met) = smaller THEN 1 ELSE 0 END AS score FROM pairs)
+SELECT name, other, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, other) AS i FROM scored WHERE score >= 0.5) WHERE i = 1""")
+def reference_match(spark: SparkSession, d: str) -> DataFrame:
+    """For each nation, region and segment the best matching name of region, priority and segment; names of two qualifiers never match."""
+    regions = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    nations = table(spark, d, "nation").join(regions, "n_regionkey").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
+    customers = table(spark, d, "customer").join(nations, "c_nationkey").select(F.col("c_custkey").alias("o_custkey"), "n_name", "r_name", "c_mktsegment")
+    names = customers.select("n_name", "r_name", "c_mktsegment").distinct().select(F.concat_ws(" ", "n_name", "r_name", "c_mktsegment", F.lit("Number")).alias("name"))
+    ordered = table(spark, d, "orders").select("o_custkey", "o_orderpriority").join(customers, "o_custkey")
+    others = ordered.select("r_name", "o_orderpriority", "c_mktsegment").distinct().select(F.concat(F.concat_ws("_", "r_name", "o_orderpriority", "c_mktsegment"), F.lit(" v1 Data")).alias("other"))
+    left, right = names.withColumn("l_tokens", N.tokens(F.col("name"))), others.withColumn("r_tokens", N.tokens(F.col("other")))
+    met = J.best_match(left, right, "name", "other", N.match_score(F.col("l_tokens"), F.col("r_tokens")), 0.5, N.specific)
+    return met.withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH l(code, said) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in N.LANGUAGES.items())})
+SELECT lang, coalesce(said, trim(lang)) AS name, CASE WHEN said IS NULL THEN upper(trim(lang)) ELSE upper(trim(lang)) || ' - ' || said END AS shown, count(*) AS n
+FROM documents LEFT JOIN l ON code = lower(trim(lang)) GROUP BY ALL""")
+def language_names(spark: SparkSession, d: str) -> DataFrame:
+    tally = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return tally.select("lang", N.language_name(F.col("lang")).alias("name"), N.shown_language(F.col("lang")).alias("shown"), "n")
+
+
+@query("""WITH p AS (SELECT unnest(['role', 'turn', 'absent']) AS field, unnest([role, turn::VARCHAR, NULL]) AS value FROM conversations)
+SELECT field, lower(trim(value)) AS value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY ALL""")
+def field_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Values of fields of JSON lines, made of the turns."""
+    lines = table(spark, d, "conversations").select(F.parse_json(F.to_json(F.struct("role", "turn"))).alias("v"), F.lit(False).alias("bad"))
+    return A.field_distribution(lines, ["role", "turn", "absent"])
+
+
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i = 1""")
 def last_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
