@@ -96,6 +96,7 @@ def derived(spark: SparkSession, d: str) -> Tables:
     return Tables(
         spark, files, summary, empty, metadata, r.select(*who, "filename", "text"), snippets, combined, corpus, context, chunks, empty, turns.drop("role"), turns.drop("role"), graded,
         combined.withColumn("polarity", F.lit("")).limit(0), {"Agreements": VERSION, "Disagreements": VERSION}, empty, turns.drop("role").limit(0),
+        chunks.limit(0), empty, metadata.select("folder_set", "polarity", F.lit("parsed_raw_doc").alias("area"), "name", "error").limit(0),
     )
 
 

@@ -1,9 +1,9 @@
-"""Running the catalogue over a run: results, statistics, quality metrics, verdict, exports."""
+"""Running the catalogue over a run: results, statistics, quality metrics, verdict."""
 
 from __future__ import annotations
 
-import html
-import json
+import time
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -11,30 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
+from corvane.functions import names as N
 from corvane.operators import aggregates as A
 from corvane.operators import similarity as M
+from corvane.plans.report import doc_counts, gated, generation, graded, to_html, to_json
 from corvane.plans.rules import BOTH, BUCKETS, CATALOGUE, DIMENSIONS, Options, Rules, bucket, field, raw
 from corvane.sources.land import Tables, land
 from corvane.sources.runs import find_runs
 
+__all__ = ["audit", "audit_all", "metrics", "results", "statistics", "to_html", "to_json", "verdict"]
 ORDER = {"FAIL": 0, "WARN": 1, "INFO": 2, "PASS": 3}
 #: Rules that are planned and run side by side: their jobs are small, and planning them takes most of the time.
 THREADS = 8
-#: Metric: strong, acceptable and weak minima, and whether a critical grade stops the delivery.
-METRICS = {
-    "target_language_purity": (0.995, 0.99, 0.97, False), "sit_position_diversity": (0.85, 0.75, 0.6, True),
-    "keyword_proximity_diversity": (0.7, 0.55, 0.3, True), "negative_label_uniqueness": (0.7, 0.55, 0.35, True),
-}
+#: Seconds after which a rule counts as slow.
+SLOW = 5
+Progress = Callable[[str], None]
 
 
-def results(t: Tables, options: Options = Options()) -> list[dict]:
-    """Rows of all rules. A rule that fails to run becomes a FAIL row; the others go on."""
+def quiet(message: str) -> None:
+    pass
+
+
+
+def results(t: Tables, options: Options = Options(), progress: Progress = quiet) -> list[dict]:
+    """Rows of all rules. A rule that fails to run becomes a FAIL row; the others go on. Progress is told of each."""
 
     def run(rules: Rules) -> list[dict]:
+        start = time.monotonic()
         try:
-            return [r.asDict() for r in rules(t, options).collect()]  # a few rows for each rule
+            rows = [r.asDict() for r in rules(t, options).collect()]  # a few rows for each rule
         except Exception as e:
+            progress(f"{rules.__name__}: crashed, {e}")
             return [{"rule": rules.__name__, "category": "(any)", "scope": "run", "title": f"Check crashed: {rules.__name__}", "status": "FAIL", "checked": 0, "bad": 1, "examples": [str(e)[:300]]}]
+        took = time.monotonic() - start
+        progress(f"{rules.__name__}: {len(rows)} results in {took:.2f} s{' [SLOW]' if took > SLOW else ''}")
+        return rows
 
     with ThreadPoolExecutor(THREADS) as pool:
         out = [row for rows in pool.map(run, CATALOGUE) for row in rows]
@@ -98,12 +109,7 @@ def metrics(t: Tables) -> dict[str, dict]:
         words = docs.select(X.assessable_words(F.col("text"), planted).alias("words")).withColumn("guess", X.guessed_language(F.col("words"))).where("guess is not null")
         size = F.size("words")
         scores["target_language_purity"] = words.agg(1 - F.sum(F.when(F.col("guess") != target["value"], size).otherwise(0)) / F.sum(size)).first()[0]
-    out = {}
-    for name, score in scores.items():
-        if score is not None:
-            strong, acceptable, weak, gate = METRICS[name]
-            grade = "strong" if score >= strong else "acceptable" if score >= acceptable else "weak" if score >= weak else "critical"
-            out[name] = {"score": score, "grade": grade, "gate": gate}
+    out = {name: graded(name, score) for name, score in scores.items() if score is not None}
     named = docs.withColumn("id", F.concat_ws(":", "folder_set", "polarity", "name"))
     rates = {r.threshold: r.rate for r in M.cluster_rates(docs, M.banded_pairs(M.shingled(named, "id", "text")), "jaccard").collect()}
     if rates.get(0.75) is not None:
@@ -113,32 +119,28 @@ def metrics(t: Tables) -> dict[str, dict]:
 
 
 def verdict(rows: list[dict], graded: dict[str, dict]) -> str:
-    stopped = any(r["status"] == "FAIL" for r in rows) or any(m["gate"] and m["grade"] == "critical" for m in graded.values())
+    stopped = any(r["status"] == "FAIL" for r in rows) or gated({"metrics": graded})
     return "NOT READY" if stopped else "READY WITH WARNINGS" if any(r["status"] == "WARN" for r in rows) else "READY"
 
 
-def audit(spark: SparkSession, path: str | Path, options: Options = Options()) -> dict:
+def audit(spark: SparkSession, path: str | Path, options: Options = Options(), progress: Progress = quiet) -> dict:
     """The whole report of one run."""
+    progress(f"landing {path}")
     t = land(spark, path)
     try:
-        rows, graded = results(t, options), metrics(t)
+        rows = results(t, options, progress)
+        progress("metrics and statistics")
+        scores = metrics(t)
         stats = {k: [r.asDict() for r in df.collect()] for k, df in statistics(t).items()}  # each a few dozen rows
+        made, sizes = (df.first().asDict() for df in (generation(t), doc_counts(t)))
+        spoken = stats["language"][0]["value"] if stats["language"] else None
+        if spoken:
+            shown = spark.range(1).select(N.language_name(F.lit(spoken)), N.shown_language(F.lit(spoken))).first()
+            made |= {"language_code": spoken, "language_name": shown[0], "language": shown[1]}
     finally:
         t.release()
-    return {"verdict": verdict(rows, graded), "results": rows, "metrics": graded, "statistics": stats}
-
-
-def audit_all(spark: SparkSession, root: str | Path, options: Options = Options()) -> dict[str, dict]:
-    return {run.label: audit(spark, run.path, options) for run in find_runs(root)}
-
-
-def to_json(report: dict) -> str:
-    return json.dumps(report, indent=2, default=str)
+    return {"label": next((run.label for run in find_runs(path)), str(path)), "verdict": verdict(rows, scores), "doc_counts": sizes, "generation": made, "results": rows, "metrics": scores, "statistics": stats}
 
 
-def to_html(report: dict) -> str:
-    """A self-contained page."""
-    cell = lambda x: f"<td>{html.escape(str(x))}</td>"
-    body = "".join("<tr>" + "".join(cell(r[k] if k != "examples" else ", ".join(r[k] or [])) for k in ("status", "category", "scope", "rule", "title", "bad", "checked", "examples")) + "</tr>" for r in report["results"])
-    graded = "".join(f"<tr>{cell(k)}{cell(round(m['score'], 4))}{cell(m['grade'])}</tr>" for k, m in report["metrics"].items())
-    return f"<!doctype html><meta charset=utf-8><title>Corpus audit</title><h1>{html.escape(report['verdict'])}</h1><table>{graded}</table><table>{body}</table>"
+def audit_all(spark: SparkSession, root: str | Path, options: Options = Options(), progress: Progress = quiet) -> dict[str, dict]:
+    return {run.label: audit(spark, run.path, options, progress) for run in find_runs(root)}

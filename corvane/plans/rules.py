@@ -149,6 +149,27 @@ def integrity(t: Tables, options: Options) -> DataFrame:
     return judged(t.files, "Integrity", empty, F.col("name")).unionByName(judged(t.metadata, "Integrity", parsed, F.col("name"), BOTH))
 
 
+GROUPS = ["raw_doc", "metadata", "parsed_raw_doc", "parsed_raw_doc/chunks", "parsed_raw_doc/plain_text"]
+
+
+@rules
+def file_groups(t: Tables, options: Options) -> DataFrame:
+    """Files of each group of each polarity: none empty, and JSON where it should be."""
+    by, name = (*BOTH, "area"), F.col("name")
+    files = t.files.where(F.col("polarity").isNotNull() & ~F.col("is_dir") & F.col("area").isin(GROUPS) & (F.col("area").isin("raw_doc", "parsed_raw_doc/plain_text") | name.endswith(".json")))
+    empty = [Test("Z3", "the group has no empty file", F.col("size") == 0)]
+    parsed = [Test("Z4", "the group's files are JSON", F.col("error") == "malformed", F.coalesce(F.col("error") != "empty", F.lit(True)))]
+    return judged(files, "Integrity", empty, name, by).unionByName(judged(t.inner, "Integrity", parsed, name, by))
+
+
+@rules
+def listings(t: Tables, options: Options) -> DataFrame:
+    """What each polarity folder lists: its metadata, and documents whose names needn't carry a number."""
+    had = t.files.where("polarity is not null").groupBy(*BOTH).agg(F.count_if(F.expr("area = 'metadata' and name = 'index.jsonl' and not is_dir")).alias("index"), F.count_if(F.expr("area = 'raw_doc' and not is_dir")).alias("documents"))
+    tests = [Test("R1", "metadata/index.jsonl is there", F.col("index") == 0), Test("R6", "names carry no number: documents are identified by their metadata", F.lit(False), F.col("documents") > 0)]
+    return judged(had, "9. raw_doc Parity & Identity", tests, F.col("polarity"), BOTH)
+
+
 def stems(t: Tables, area: str) -> DataFrame:
     """(folder_set, polarity, full name, stem) of the documents that an area has files of."""
     full = {"raw_doc": F.col("name"), "metadata": None, "parsed_raw_doc": None}.get(area, F.regexp_replace("name", r"\.[^.]*$", ""))
@@ -189,12 +210,29 @@ def parity(t: Tables, options: Options) -> DataFrame:
 # --- 3-4. context records and index ---
 
 
+def _sources(t: Tables, odd: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(scope, examples): where the documents of context records lie: by the index's files of their value, else by name, else by path.
+
+    Only values of these records are looked up; of several files the first and the last are named.
+    """
+    text = lambda c: F.nullif(X.text_of(F.col(c)), F.lit(""))
+    rows = odd.select(*by, text("value").alias("value"), X.to_bool(F.col("ground_truth")).alias("true"), text("document_name").alias("named"), text("doc_path").alias("path"))
+    wanted = rows.select("folder_set", "value").distinct()
+    files = t.index.where("value is not null and filename is not null").join(wanted, ["folder_set", "value"], "left_semi").groupBy("folder_set", "value").agg(F.min("filename").alias("low"), F.max("filename").alias("high"))
+    full = lambda n: F.concat(F.when(F.col("true"), "Positive").otherwise("Negative"), F.lit("/outputs/raw_doc/"), n)
+    indexed = F.when(F.col("low").isNotNull(), F.concat_ws("; ", full(F.col("low")), F.when(F.col("low") != F.col("high"), full(F.col("high")))))
+    place = F.coalesce(indexed, full(F.col("named")), F.concat(F.lit("(unverified) "), X.base_name(F.col("path"))), F.lit("(no document is named)"))
+    found = rows.join(files, ["folder_set", "value"], "left").withColumn("place", place).groupBy(*by).agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    return found.select(F.concat_ws(" / ", *by).alias("scope"), F.array_distinct(F.array("a", "b")).alias("examples"))
+
+
 @rules
 def context(t: Tables, options: Options) -> DataFrame:
     category, by = "3. context_output_normalized", ("folder_set", "name")
     fine = F.col("_corrupt_record").isNull()
     there = t.context.where(fine).groupBy(*by).agg(*[F.bool_or(F.col(c).isNotNull()).alias(f"{c}_used") for c in CONTEXT_FIELDS])
-    rows = t.context.where(fine).join(there, list(by))
+    plain = t.context.where(fine)
+    rows = plain.join(there, list(by))
     where = F.col("pos")
     category_text = F.lower(X.strip(X.text_of(F.col("sit_category"))))
     tests = [
@@ -206,30 +244,41 @@ def context(t: Tables, options: Options) -> DataFrame:
     ]
     whole = judged(t.context, category, [Test("C0", "the file is a readable array", ~fine)], F.col("name"), by)
     language = F.coalesce(X.text_of(F.col("language")), *[F.try_variant_get(w, "$.language", "string") for w in WINDOWS])
-    counted = rows.select(*by, language.alias("lang"), X.text_of(F.col("value")).alias("value")).where("lang is not null and lang <> ''")
+    counted = plain.select(*by, language.alias("lang"), X.text_of(F.col("value")).alias("value")).where("lang is not null and lang <> ''")
     tally = counted.groupBy(*by, "lang").agg(F.count("*").alias("n"))
     main = tally.groupBy(*by).agg(F.max_by("lang", F.struct("n", "lang")).alias("main"))
     soft = judged(there, category, [Test("C4", f"{c} is in the schema", ~F.col(f"{c}_used"), None, "PASS") for c in CONTEXT_FIELDS if c != "confidence"], F.col("name"), by)
     spoken = judged(tally.join(main, list(by)), category, [Test("C7", "one language is spoken", F.col("lang") != F.col("main"), None, "PASS")], F.col("lang"), by)
     mixed = judged(counted.join(main, list(by)), category, [Test("C8", "all records are in one language", F.col("lang") != F.col("main"), status="WARN")], F.col("value"), by)
+    mixed = mixed.drop("examples").join(_sources(t, plain.withColumn("lang", language).join(main, list(by)).where("lang <> '' and lang <> main"), by), "scope", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     total = t.summary.select("folder_set", X.first_present(F.col("v"), ["$.counts.total", "$.counts.Total"]).alias("total"))
     sized = t.context.where(fine).groupBy(*by).agg(F.count("*").alias("n")).join(total, "folder_set", "left")
     counts = judged(sized, category, [Test("C1", "as many records as documents", F.col("n") < F.col("total") * options.ratio, silent=False)], F.col("n"), by)
     return union([whole, counts, judged(rows, category, tests, where, by), soft, spoken, mixed])
 
 
-@rules
-def index(t: Tables, options: Options) -> DataFrame:
+def _index(t: Tables, chunks: DataFrame, file: DataFrame) -> DataFrame:
     category, c = "4. Index files", F.col("chunk")
     tests = [
         Test("I1", "no chunk has a polarity", raw("polarity", "chunk").isNotNull(), X.is_object(c)),
         Test("I3", "chunks have an id and content", X.is_empty(raw("chunk_id", "chunk")) | ~X.is_truthy(raw("chunk_content", "chunk")), X.is_object(c)),
     ]
     read = [Test("I0", "the index is a JSON object", F.col("error").isNotNull() | ~X.is_object(F.col("v")))]
-    values = t.index.where("value is not null").groupBy("folder_set").agg(F.count_distinct("entity", "value").alias("n"))
+    values = chunks.where("value is not null").groupBy("folder_set").agg(F.count_distinct("entity", "value").alias("n"))
     total = t.summary.select("folder_set", X.first_present(F.col("v"), ["$.counts.total", "$.counts.Total"]).alias("total"))
     sized = judged(values.join(total, "folder_set", "left"), category, [Test("I2", "one value for each document", F.col("n") != F.col("total"), F.col("total").isNotNull()), Test("I2", "the number of documents is known", F.col("total").isNull(), F.col("total").isNull(), "WARN")], F.col("n"))
-    return union([judged(t.index_file, category, read, F.col("name")), judged(t.index, category, tests, F.col("value")), sized])
+    return union([judged(file, category, read, F.col("name")), judged(chunks, category, tests, F.col("value")), sized])
+
+
+@rules
+def index(t: Tables, options: Options) -> DataFrame:
+    return _index(t, t.index, t.index_file)
+
+
+@rules
+def merged_index(t: Tables, options: Options) -> DataFrame:
+    """The same of the merged index, which may be absent."""
+    return _index(t, t.merged, t.merged_file).withColumn("title", F.concat(F.lit("merged index: "), "title"))
 
 
 # --- 5-7. summaries and counts ---
@@ -321,8 +370,12 @@ BUCKETS = ["easy positive", "easy negative", "hard positive", "hard negative"]
 def bucket(v: str = "v") -> Column:
     """sit_category if it is one of the buckets, else the first one found in the nested details."""
     own = F.lower(X.strip(field("sit_category", v=v)))
-    nested = F.regexp_extract(F.to_json(raw("sit_details", v)), r'"sit_category"\s*:\s*"([^"]+)"', 1)
-    return F.when(own.isin(BUCKETS), own).otherwise(F.coalesce(F.nullif(F.lower(nested), F.lit("")), F.lit("unknown")))
+    none = F.try_variant_get(F.parse_json(F.lit("[]")), "$", "array<variant>")
+    inside = lambda x: F.coalesce(F.map_values(F.try_variant_get(x, "$", "map<string,variant>")), none)
+    entities = F.flatten(F.transform(inside(raw("sit_details", v)), inside))
+    entries = F.flatten(F.transform(entities, lambda e: F.coalesce(F.try_variant_get(e, "$.values", "array<variant>"), none)))
+    nested = F.filter(F.transform(entries, lambda e: F.lower(X.strip(F.try_variant_get(e, "$.sit_category", "string")))), lambda c: c != "")
+    return F.when(own.isin(BUCKETS), own).otherwise(F.coalesce(F.get(nested, F.lit(0)), F.lit("unknown")))
 
 
 @rules
@@ -465,6 +518,23 @@ def content(t: Tables, options: Options) -> DataFrame:
     return judged(rows, "9b. Content Verification", tests, who, BOTH).unionByName(judged(rows, "Instance Value Offset Accuracy", offsets, who, BOTH))
 
 
+@rules
+def value_contexts(t: Tables, options: Options) -> DataFrame:
+    """The sentences around the first and the last value that is found, to read; it never fails. Only these are cut out."""
+    rows = sampled(t, options, t.instances).select(*BOTH, "name", "pos", field("value").alias("value"), field("filename", v="v").alias("filename")).join(t.text, [*BOTH, "filename"])
+    rows = rows.withColumn("span", X.find_span(F.col("text"), F.col("value"))).where("span is not null")
+    one, who = F.struct("name", "text", "span"), F.struct("name", "pos")
+    ends = rows.groupBy(*BOTH).agg(F.count("*").alias("checked"), F.min_by(one, who).alias("a"), F.max_by(one, who).alias("b"))
+
+    def shown(c: str) -> Column:
+        s = X.sentence_context(F.col(f"{c}.text"), F.col(f"{c}.span.start"), F.col(f"{c}.span.length"))
+        return F.transform(F.array(s), lambda x: F.concat(F.col(f"{c}.name"), F.lit(": "), F.concat_ws(" | ", x["before"], x["current"], x["after"])))[0]
+
+    out = ends.select(F.concat_ws(" / ", *BOTH).alias("scope"), "checked", F.array_distinct(F.array(shown("a"), shown("b"))).alias("examples"))
+    fixed = {"rule": "V4", "category": "9b. Content Verification", "title": "values in their sentences", "status": "PASS"}
+    return out.withColumns({k: F.lit(v) for k, v in fixed.items()}).withColumn("bad", F.lit(0).cast("long")).select(*COLUMNS)
+
+
 @rules
 def context_join(t: Tables, options: Options) -> DataFrame:
     """Context records against the document's text: by id and file name, else by the path's name, else their own window."""

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The driver keeps plans of past queries as text; those of rules are long.
+    "spark.sql.maxPlanStringLength": "200000",
+    "spark.sql.ui.retainedExecutions": "20",
 }
 _SHIPPED: set[str] = set()
 

@@ -46,6 +46,9 @@ class Tables:
     versions: dict[str, str]  # folder_set: name of the version folder that it lies in
     misc_summary: DataFrame  # the grader's second summary, and its lines for each document
     manifest: DataFrame
+    merged: DataFrame  # as index and index_file, of the merged index
+    merged_file: DataFrame
+    inner: DataFrame  # folder_set, polarity, area, name, error: the JSON files of parsed documents and chunks
 
     def release(self) -> None:
         """Let go of what is held in memory; a run that is landed again is then read again."""
@@ -79,12 +82,12 @@ def _polarity(path: Column) -> Column:
 
 def _read(spark: SparkSession, root: Path, paths: list[Path], pattern: str, whole: bool) -> DataFrame:
     there = [f"file://{p}" for p in paths if p.exists()]
-    schema = "value string, path string, folder_set string, polarity string, name string, size long"
+    schema = "value string, path string, folder_set string, polarity string, name string, size long, start long"
     if not there:
         return spark.createDataFrame([], schema)
     raw = spark.read.text(there, wholetext=whole, pathGlobFilter=pattern)
     path = decoded(F.col("_metadata.file_path"))
-    return raw.select(clean(F.col("value")).alias("value"), path.alias("path"), _folder_set(path, root).alias("folder_set"), _polarity(path).alias("polarity"), X.base_name(path).alias("name"), F.col("_metadata.file_size").alias("size"))
+    return raw.select(clean(F.col("value")).alias("value"), path.alias("path"), _folder_set(path, root).alias("folder_set"), _polarity(path).alias("polarity"), X.base_name(path).alias("name"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"))
 
 
 def _parsed(df: DataFrame) -> DataFrame:
@@ -94,8 +97,11 @@ def _parsed(df: DataFrame) -> DataFrame:
 
 
 def _lines(df: DataFrame, *more: str) -> DataFrame:
+    """Lines in the order of their file: `line` is the block's place in the file, then the place in the task that reads it, however blocks are dealt to tasks."""
     v = F.try_parse_json("value")
-    rows = df.where(F.trim("value") != "").select("folder_set", *more, F.monotonically_increasing_id().alias("line"), v.alias("v"))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line = F.col("start").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(11,0)") + inside
+    rows = df.where(F.trim("value") != "").select("folder_set", *more, line.cast("decimal(38,0)").alias("line"), v.alias("v"))
     return rows.withColumn("bad", F.col("v").isNull())
 
 
@@ -128,6 +134,15 @@ def _snippets(df: DataFrame) -> DataFrame:
     return df.select("folder_set", "polarity", "name", "value").mapInPandas(run, "folder_set string, polarity string, name string, has_label boolean, label boolean, found boolean")
 
 
+def _indexed(spark: SparkSession, file: DataFrame) -> DataFrame:
+    """(folder_set, entity, value, filename, chunk) of index files."""
+    levels = file.where(X.is_object(F.col("v")))
+    for key, below, above in (("entity", "a_v", "v"), ("of_entity", "b_v", "a_v"), ("filename", "c_v", "b_v")):
+        inside = spark.tvf.variant_explode_outer(F.col(above).outer())
+        levels = levels.lateralJoin(inside).withColumnRenamed("value", below).withColumnRenamed("key", key).drop("pos")
+    return levels.select("folder_set", "entity", F.col("of_entity").alias("value"), "filename", F.explode_outer(F.try_variant_get("c_v", "$", "array<variant>")).alias("chunk"))
+
+
 def list_files(spark: SparkSession, root: Path) -> DataFrame:
     """Every file and folder of the run. The driver walks names and sizes alone; no content is read."""
     rows = []
@@ -149,6 +164,7 @@ def land(spark: SparkSession, run_path: str | Path) -> Tables:
     tops = [root / d for d in SETS.values()]
     outputs = [t / p / "outputs" for t in tops for p in POLARITIES]
     read = lambda paths, pattern="*", whole=True: _read(spark, root, paths, pattern, whole)
+    inner = lambda area: _parsed(read([o / area for o in outputs], "*.json")).select("folder_set", "polarity", F.lit(area).alias("area"), "name", "error")
     text = read([o / "parsed_raw_doc/plain_text" for o in outputs], "*.txt").select("folder_set", "polarity", F.regexp_replace("name", r"\.txt$", "").alias("filename"), F.col("value").alias("text"))
     context_dirs = [f"file://{t / n}" for t in tops for n in ("context_output_normalized", "context_output_normalised") if list((t / n).glob("*.json"))]
     schema = ", ".join(f"{c} VARIANT" for c in [*CONTEXT_FIELDS, *WINDOWS]) + ", _corrupt_record STRING"
@@ -158,19 +174,16 @@ def land(spark: SparkSession, run_path: str | Path) -> Tables:
     else:
         context = spark.createDataFrame([], "_corrupt_record string, name string, folder_set string, pos long").select(*[F.lit(None).cast("variant").alias(c) for c in [*CONTEXT_FIELDS, *WINDOWS]], "*")
     index_file = _parsed(read([t / "sit_inverted_index.json" for t in tops])).persist()
-    levels = index_file.where(X.is_object(F.col("v")))
-    for key, below, above in (("entity", "a_v", "v"), ("of_entity", "b_v", "a_v"), ("filename", "c_v", "b_v")):
-        inside = spark.tvf.variant_explode_outer(F.col(above).outer())
-        levels = levels.lateralJoin(inside).withColumnRenamed("value", below).withColumnRenamed("key", key).drop("pos")
-    chunks = levels.select("folder_set", "entity", F.col("of_entity").alias("value"), "filename", F.explode_outer(F.try_variant_get("c_v", "$", "array<variant>")).alias("chunk"))
+    merged_file = _parsed(read([t / "sit_merged_index.json" for t in tops])).persist()
     grader = [t / "SITGrader" for t in tops]
     latest = [max(g.glob("chunk_run_*"), default=g / "none") for g in grader]
     return Tables(
         spark, list_files(spark, root).persist(), _parsed(read([t / "export_summary.json" for t in tops])).persist(), _parsed(read([root / "generation_log.json"])).persist(),
         _parsed(read([o / "metadata" for o in outputs], "*.json")).persist(), text.persist(), _snippets(read([o / "parsed_raw_doc/chunks" for o in outputs], "*.json")).persist(),
         _lines(read([t / "combined_metadata.jsonl" for t in tops], whole=False)).persist(), _lines(read([t / "corpus.jsonl" for t in tops], whole=False)).persist(),
-        context.persist(), chunks, index_file, _lines(read([g / "misc/chunk_evaluations.jsonl" for g in grader], whole=False)),
+        context.persist(), _indexed(spark, index_file), index_file, _lines(read([g / "misc/chunk_evaluations.jsonl" for g in grader], whole=False)),
         _lines(read([p / "chunk_grades.jsonl" for p in latest], whole=False)), _parsed(read([p / "chunk_summary.json" for p in latest])),
         _lines(read([o / "metadata" for o in outputs], "index.jsonl", whole=False), "polarity"), {"Agreements": root.name if root.name.startswith("Version_") else root.parent.name, "Disagreements": root.name},
         _parsed(read([g / "misc/evaluation_summary.json" for g in grader])), _lines(read([g / "misc/evaluation_manifest.jsonl" for g in grader], whole=False)),
+        _indexed(spark, merged_file), merged_file, inner("parsed_raw_doc").unionByName(inner("parsed_raw_doc/chunks")),
     )

@@ -47,6 +47,8 @@ def build(top: Path, graded: bool = False, documents: int = 6, words: int = 0) -
         window = {"text": text, "left_context_length": 1, "right_context_length": 1, "exact_content_length": 1, "detected_sit_start_index": 1, "detected_sit_end_index": 1, "language": "en"}
         context.append({"sit_name": ENTITY, "confidence": "85", "doc_path": f"{folder}/{name}", "value": value, "doc_content_length": len(text), "detected_sit_start_index": start, "detected_sit_end_index": start + len(value) - 1, "language": "en", "ground_truth": str(positive), "sit_category": row["sit_category"], "domain": "d", "file_format": "docx", "document_name": name, "doc_id": stem, "context_100": window})
         index[value] = {name: [{"chunk_id": 0, "chunk_content": text, "chunk_label": positive}]}
+    for polarity in ("Positive", "Negative"):
+        write(root / polarity / "outputs/metadata/index.jsonl", lines([{"stem": r["stem"]} for r in combined if r["label"] == polarity.lower()]))
     write(root / "combined_metadata.jsonl", lines(combined))
     write(root / "corpus.jsonl", lines(combined))
     write(root / "context_output_normalized/all.json", context)
