@@ -1,4 +1,4 @@
-"""The ten operators as named queries over the driver's tables."""
+"""The operators as named queries over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hamming, html_text, langid, linededup, mixing, quality, warc
+from . import chat, hamming, html_text, langid, linededup, mixing, phrases, quality, sweep, urls, warc
 from .bpe import encode_documents
 from .common import materialize, table
 from .neardup import near_duplicates
@@ -90,6 +90,34 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.nearest(vectors, vectors["vec_id"] % 100 == 0, NEIGHBOURS)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), "url", rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+ALL_NATIONS, NO_NATION, OPEN_AFTER = -2, -1, 7 * 86_400
+
+
+def op13_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").groupBy("sale_id").agg(F.max("shipped_at").alias("shipped_at"))
+    nations = table(spark, sf_dir, "clients").groupBy("client_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
+    sales = table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at", F.when(F.abs("total") < 1e15, F.floor(100 * F.col("total") + 0.5)).alias("cents"))
+    placed = sales.join(lines, "sale_id", "left").join(nations, "client_id", "left")
+    open_ = placed.select(
+        F.coalesce("nation_id", F.lit(NO_NATION)).alias("key"), sweep.seconds(F.col("sold_at")).alias("start_s"),
+        (sweep.seconds(F.col("shipped_at")) + OPEN_AFTER).alias("end_s"), F.col("cents").alias("weight"),
+    )
+    swept = sweep.sweep(open_, ALL_NATIONS)
+    return swept.select(F.col("key").alias("nation_id"), "from_s", "to_s", "n_open", F.col("open_weight").alias("open_cents"), "high_open", "is_peak")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -101,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_hamming_topk": op10_hamming_topk,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_url_filters": op12_url_filters,
+    "op13_peak_concurrency": op13_peak_concurrency,
 }
 
 # Without SQL: op1 (its draws), op2 and op5 (fitted models), op3 (a tree builder), op9 (a tokenizer).
@@ -165,4 +196,59 @@ pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
   FROM codes q JOIN codes v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, neighbor_id, distance FROM ranked WHERE rank <= 10""",
+    "op11_phrase_collocations": r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM texts),
+words AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, w[i:i + s - 1] AS g FROM starts, (VALUES (1), (2), (3), (4)) AS sizes(s) WHERE i + s - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS c FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+cand AS (SELECT * FROM f WHERE len(g) > 1),
+cuts AS (SELECT lang, g, c, unnest(range(1, len(g))) AS k FROM cand),
+scored AS (
+  SELECT cuts.lang, cuts.g, cuts.c AS a, cuts.k, l.c AS l, r.c AS r,
+    CAST((CAST(cuts.c AS HUGEINT) * 2000000) // (CAST(l.c AS HUGEINT) + CAST(r.c AS HUGEINT)) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = cuts.g[1:k] JOIN f r ON r.lang = cuts.lang AND r.g = cuts.g[k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, c, g[i:i + s - 1] AS g FROM cand, (VALUES (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)) AS places(s, i) WHERE s < len(cand.g) AND i + s - 1 <= len(cand.g)),
+longer AS (SELECT lang, g, max(c) AS c FROM inner_ GROUP BY lang, g),
+left_over AS (
+  SELECT best.* FROM best LEFT JOIN longer USING (lang, g)
+  WHERE longer.c IS NULL OR 100 * CAST(longer.c AS HUGEINT) < 80 * CAST(best.a AS HUGEINT)),
+ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000""",
+    "op12_url_filters": r"""
+WITH rules(action, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM cut),
+parts AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM hosts)
+SELECT page_id, p.host, p.path, best.rule, coalesce(best.action, 'allow') AS verdict
+FROM parts p LEFT JOIN (
+  SELECT host, path, max_by(rule, size) AS rule, max_by(action, size) AS action FROM (
+    SELECT p.host, p.path, r.host || r.path AS rule, r.action, length(r.host || r.path) AS size
+    FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+  GROUP BY host, path) best ON best.host = p.host AND best.path = p.path""",
+    "op13_peak_concurrency": r"""
+WITH ends AS (SELECT sale_id, max(shipped_at) AS shipped_at FROM sale_lines GROUP BY sale_id),
+home AS (SELECT client_id, min(nation_id) AS nation_id FROM clients GROUP BY client_id),
+placed AS (
+  SELECT coalesce(nation_id, -1) AS nation_id, epoch_us(sold_at) // 60000000 * 60 AS s, epoch_us(shipped_at) // 60000000 * 60 + 604800 AS e,
+    coalesce(CAST(floor(100 * total + 0.5) AS BIGINT), 0) AS cents
+  FROM sales LEFT JOIN ends USING (sale_id) LEFT JOIN home USING (client_id)),
+open_ AS (SELECT * FROM placed WHERE s IS NOT NULL AND (e IS NULL OR e > s)),
+each AS (SELECT * FROM open_ UNION ALL SELECT -2, s, e, cents FROM open_),
+steps AS (SELECT nation_id, s AS t, 1 AS n, cents FROM each UNION ALL SELECT nation_id, e, -1, -cents FROM each WHERE e IS NOT NULL),
+moments AS (SELECT nation_id, t, sum(n) AS n, sum(cents) AS cents FROM steps GROUP BY nation_id, t HAVING sum(n) <> 0 OR sum(cents) <> 0),
+run AS (
+  SELECT nation_id, t, lead(t) OVER w AS to_s, sum(n) OVER w AS n_open, sum(cents) OVER w AS open_cents FROM moments
+  WINDOW w AS (PARTITION BY nation_id ORDER BY t))
+SELECT CAST(nation_id AS INTEGER) AS nation_id, CAST(t AS BIGINT) AS from_s, CAST(to_s AS BIGINT) AS to_s, CAST(n_open AS BIGINT) AS n_open, CAST(open_cents AS BIGINT) AS open_cents,
+  CAST(max(n_open) OVER (PARTITION BY nation_id ORDER BY t) AS BIGINT) AS high_open, n_open = max(n_open) OVER (PARTITION BY nation_id) AS is_peak
+FROM run""",
 }
