@@ -14,7 +14,7 @@ texts don't move.
 Defined cases: texts that are null or have no letter are `und`, score 0,
 rejected. Texts are read whole, in blocks, so that memory doesn't grow with their
 length. Rows are independent, so that repeated rows and ids have results of their
-own (of rows that repeat an id and a label all teach); of equal cosines the
+own (of rows that repeat an id and a label one teaches, that with the least text); of equal cosines the
 centroid that comes first by label counts. Labels that are null teach nothing;
 without any label all is `und`. A carried column with the name of a result is left
 out. An empty table gives an empty result.
@@ -208,14 +208,15 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     named = docs.where(usable & docs[label_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[label_col].alias("label"))
     if named.select("label").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    # A draw by hash at about twice the rate that is needed comes first, so that no task ranks all rows of a label.
-    counted = named.groupBy("label").agg(F.count("*").alias("n"))
+    # A draw by hash at about twice the rate that is needed comes first, so that no task ranks all ids of a label. The count may be a few percent off.
+    counted = named.groupBy("label").agg(F.approx_count_distinct("id", 0.02).alias("n"))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     early = F.col("place") * (F.col("n") / (1 << 40)) < 2 * per_language + 200
     turn = F.row_number().over(Window.partitionBy("label").orderBy("place", "id"))
-    few = named.distinct().withColumn("place", place).join(F.broadcast(counted), "label").where(early)
+    few = named.withColumn("place", place).join(F.broadcast(counted), "label").where(early).select("id", "label", "place").distinct()
     drawn = few.withColumn("turn", turn).where(F.col("turn") <= per_language).select("id", "label")
-    rows = docs.select(docs[id_col].alias("id"), docs[label_col].alias("label"), docs[text_col].alias("text")).join(F.broadcast(drawn), ["id", "label"], "left_semi")
+    taught = docs.where(usable).select(docs[id_col].alias("id"), docs[label_col].alias("label"), docs[text_col].alias("text")).join(F.broadcast(drawn), ["id", "label"], "left_semi")
+    rows = taught.groupBy("id", "label").agg(F.min("text").alias("text"))
     schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("id", T.StringType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,93 +232,6 @@ def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
     return fit_sample(Sample(sample.column("label").to_pylist(), lists("bins"), lists("counts")), clusters)
 
 
-def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, cosine and rejection of each row of counts."""
-        blank = ~counts.any(axis=1)
-        if not self.languages:
-            return [UNKNOWN] * len(counts), np.zeros(len(counts)), np.ones(len(counts), bool)
-        cosines = self.vectors(counts) @ self.centres.T
-        best = cosines.argmax(axis=1)
-        score = np.clip(cosines[np.arange(len(best)), best].astype(float), 0, 1)
-        score[blank] = 0
-        named = [UNKNOWN if b else self.languages[self.language_of[k]] for b, k in zip(blank.tolist(), best.tolist(), strict=True)]
-        return named, score, blank | (score < self.floors[_length(counts)])
-
-
-def _clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centres are the mean's nearest vector and then the farthest ones."""
-    picked = [int((vectors @ vectors.mean(axis=0)).argmax())]
-    while len(picked) < k:
-        picked.append(int((vectors @ vectors[picked].T).max(axis=1).argmin()))
-    centres = vectors[picked]
-    for _ in range(rounds):
-        nearest = (vectors @ centres.T).argmax(axis=1)
-        for j in range(k):
-            if (nearest == j).any():
-                total = vectors[nearest == j].sum(axis=0)
-                centres[j] = total / max(float(np.linalg.norm(total)), 1e-9)
-    return centres
-
-
-def fit_counts(labels: list[str], counts: np.ndarray, clusters: int = CLUSTERS) -> Centroids:
-    return fit_sample(Sample.of(labels, counts), clusters)
-
-
-def fit_sample(sample: Sample, clusters: int = CLUSTERS) -> Centroids:
-    languages = sorted(set(sample.labels))
-    idf = (np.log((1 + len(sample.labels)) / (1 + sample.texts_with())) + 1).astype(np.float32)
-    model = Centroids(languages, np.zeros(0, int), np.zeros((0, BINS), np.float32), idf, np.zeros(BINS.bit_length() + 1))
-    if not languages:
-        return model
-    centres, owner, lengths, cosines = [], [], [], []
-    for i, language in enumerate(languages):
-        counts = sample.dense([k for k, x in enumerate(sample.labels) if x == language])
-        own = model.vectors(counts)
-        found = _clustered(own, max(1, min(clusters, len(own) // 20)))
-        centres.append(found)
-        owner += [i] * len(found)
-        lengths.append(_length(counts))
-        cosines.append((own @ found.T).max(axis=1))
-    model.centres, model.language_of = np.concatenate(centres), np.array(owner)
-    model.floors = _floors(np.concatenate(lengths), np.concatenate(cosines))
-    return model
-
-
-def fit(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Centroids:
-    """Learn from rows for which usable holds and the label isn't null.
-
-    At most per_language rows of each of at most MAX_LANGUAGES labels come to
-    the driver, as counts of trigram bins.
-    """
-    named = docs.where(usable & docs[label_col].isNotNull() & docs[id_col].isNotNull()).select(docs[id_col].alias("id"), docs[label_col].alias("label"))
-    if named.select("label").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    # A draw by hash at about twice the rate that is needed comes first, so that no task ranks all rows of a label.
-    counted = named.groupBy("label").agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    early = F.col("place") * (F.col("n") / (1 << 40)) < 2 * per_language + 200
-    turn = F.row_number().over(Window.partitionBy("label").orderBy("place", "id"))
-    few = named.distinct().withColumn("place", place).join(F.broadcast(counted), "label").where(early)
-    drawn = few.withColumn("turn", turn).where(F.col("turn") <= per_language).select("id", "label")
-    rows = docs.select(docs[id_col].alias("id"), docs[label_col].alias("label"), docs[text_col].alias("text")).join(F.broadcast(drawn), ["id", "label"], "left_semi")
-    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("id", T.StringType()), T.StructField("bins", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.FloatType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_chunks(batches, "text"):
-            for start in range(0, part.num_rows, 64):
-                cut = part.slice(start, 64)
-                counts = trigram_counts(cut.column("text").to_pylist())
-                bins = [np.flatnonzero(x).astype(np.int32) for x in counts]
-                yield pa.RecordBatch.from_arrays([cut.column("label").cast(pa.string()), cut.column("id").cast(pa.string()), pa.array(bins, pa.list_(pa.int32())), pa.array([x[b] for x, b in zip(counts, bins, strict=True)], pa.list_(pa.float32()))], names=schema.names)
-
-    sample = rows.select("label", "id", "text").mapInArrow(run, schema).limit(2 * per_language * MAX_LANGUAGES).toPandas()
-    sample = sample.sort_values(["label", "id"], kind="stable")
-    counts = np.zeros((len(sample), BINS), np.float32)
-    for i, (bins, n) in enumerate(zip(sample["bins"], sample["counts"], strict=True)):
-        counts[i, bins] = n
-    return fit_counts(sample["label"].tolist(), counts, clusters)
-
-
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, columns in carry, lang_pred, score, rejected) of each row. The model has a fixed largest size."""
     carried = dict.fromkeys(c for c in [id_col, *carry] if c not in ("lang_pred", "score", "rejected"))

@@ -78,3 +78,17 @@ def test_like_a_plain_classifier():
         best = max(range(len(cosines)), key=cosines.__getitem__)
         names, scores, _ = model.predict(langid.trigram_counts([text]))
         assert names == [model.languages[model.language_of[best]]] and abs(scores[0] - cosines[best]) < 1e-4
+
+
+def test_repeated_rows_teach_once_and_reruns_agree(spark):
+    rows = [r for r in corpus(2000) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, g, "x", 1) for i, t, g in rows], SCHEMA + ", id string, label int")
+    seen = []
+    real, langid.fit_sample = langid.fit_sample, lambda sample, clusters: seen.append(sample) or real(sample, clusters)
+    try:
+        models = [langid.fit(df, F.lit(True)), langid.fit(df.repartition(7), F.lit(True))]
+    finally:
+        langid.fit_sample = real
+    for sample in seen:
+        assert all(sample.labels.count(g) == langid.PER_LANGUAGE for g in SYLLABLES)
+    assert np.array_equal(models[0].centres, models[1].centres) and np.array_equal(models[0].floors, models[1].floors)
