@@ -14,7 +14,8 @@ stand in the columns that spans of columns and rows leave them; a cell over
 several columns widens the last of them.
 
 Defined cases: null or empty HTML gives empty text. Broken markup never fails:
-a "<" that starts no tag is text, an open comment or tag runs to the end. Very
+a "<" that starts no tag is text; a tag with a quote that never closes ends at the next
+">"; an open comment, or a tag without any ">" after it, runs to the end. Very
 long and very deep pages take time in proportion to their length. Each row is
 independent, so that repeated rows and ids have results of their own; an empty
 table gives an empty result. Only the two named columns are read, so that other
@@ -37,7 +38,7 @@ from .common import text_chunks
 # Element names of the HTML standard by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas svg math datalist".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas datalist defs desc metadata symbol annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCK = SPACED | frozenset("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav section summary tr caption center option optgroup search".split())
 CLOSES_P = (BLOCK - frozenset("html body tr caption option optgroup dt dd li legend".split())) | frozenset(["li", "dt", "dd"])
@@ -60,8 +61,13 @@ IMPLIED = {
 P_BARRIER = frozenset(["table", "td", "th", "button", "caption", "object"])
 TABLE_PARTS = frozenset(["table", "td", "th", "tr", "caption"])
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote begins a value after "=" alone, and only if it closes; anywhere else it is a character like others.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*+))?+)*+)>")
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|(?![\"'])([^\s>]*+)))?+")
+_COMMENT_END = re.compile(r"--!?>")
+#: After so many tags with a quote that never closes, the rest of a page is read as if quotes meant nothing, so that each costs its own length.
+UNCLOSED = 50
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -98,6 +104,7 @@ def build(html: str) -> Node:
     """The element tree of a page."""
     root = Node("#root")
     stack, at, size = [root], 0, len(html)
+    last_end, unclosed = html.rfind(">"), 0
     depths: dict[str, list[int]] = defaultdict(list)  # of each tag: where in the stack it is open
 
     def cut(depth: int) -> None:
@@ -125,17 +132,21 @@ def build(html: str) -> Node:
             break
         put(html[at:start])
         if html.startswith("<!--", start):
-            end = html.find("-->", start + 4)
-            at = size if end < 0 else end + 3
+            end = _COMMENT_END.search(html, start + 4)
+            short = next((x for x in ("<!-->", "<!--->") if html.startswith(x, start)), None)
+            at = start + len(short) if short else end.end() if end else size
             continue
         if html.startswith(("<!", "<?"), start):
             end = html.find(">", start)
             at = size if end < 0 else end + 1
             continue
-        m = _TAG.match(html, start)
-        if not m:
-            if re.match(r"</?[a-zA-Z]", html[start : start + 3]):
+        m = _TAG.match(html, start) if unclosed < UNCLOSED else None
+        if not m and re.match(r"</?[a-zA-Z]", html[start : start + 3]):
+            if start > last_end:
                 break  # a tag that never ends
+            m = _OPEN_TAG.match(html, start)
+            unclosed += 1
+        if not m:
             put("<")
             at = start + 1
             continue

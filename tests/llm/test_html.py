@@ -105,3 +105,67 @@ def test_long_and_deep_pages_take_time_in_proportion():
 
     took(500)
     assert took(16_000) < 12 * took(4_000) + 1
+
+
+STRAY = {
+    '<p>one</p><a href="x"">two</a> <p>three</p>': "one\n\ntwo\n\nthree", "<p>one</p><a title=it's>two</a> <p>three</p>": "one\n\ntwo\n\nthree",
+    '<b class="a" ">x</b>y': "xy", "<img alt='x'y'>z": "z", "a<!-->b": "ab", "a<!--->b": "ab", "a<!-- x --!>b": "ab", "a<!-- > --!-- -->b": "ab",
+    '<a ="x>y">z': 'y">z', '<a x = "1>2" y>z': "z", "<a x=>y": "y", '<a x=">y</a><p>z': "y\n\nz", "<a x='>y</a><p>z": "y\n\nz", '<a x="/>b">c': "c",
+    "<svg><title>t</title><defs><text>no</text></defs><text>shown</text></svg>": "shown", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math>": "x=1",
+}
+
+
+@pytest.mark.parametrize("html", STRAY)
+def test_stray_quotes_lose_nothing(html):
+    assert render(html) == STRAY[html]
+
+
+def ends(html, at):
+    """Where a start tag ends, by the states of the HTML standard's tokenizer; None if it doesn't."""
+    state, quote = "name", ""
+    for i in range(at, len(html)):
+        c = html[i]
+        space = c in " \t\n\f\r"
+        if state == "value" and quote:
+            state, quote = ("after", "") if c == quote else (state, quote)
+        elif state == "before value" and space:
+            continue
+        elif state == "before value" and c in "\"'":
+            state, quote = "value", c
+        elif c == ">":
+            return i + 1
+        elif state == "before value":
+            state = "value"
+        elif state == "value":
+            state = "between" if space else "value"
+        elif state == "name":
+            state = "between" if space or c == "/" else "name"
+        elif c == "/" or state == "after" and space:
+            state = "between"
+        elif state in ("attribute", "past attribute") and c == "=":
+            state = "before value"
+        elif state == "attribute":
+            state = "past attribute" if space else "attribute"
+        elif not (space and state in ("between", "past attribute")):
+            state = "attribute"
+    return None
+
+
+def test_tags_end_as_in_a_plain_state_machine():
+    rnd = random.Random(9)
+    for _ in range(20_000):
+        html = "<a" + "".join(rnd.choices(["x", " ", "=", '"', "'", "/", ">", "y z", "\n"], [3, 4, 3, 3, 3, 1, 2, 1, 1], k=rnd.randint(1, 14))) + "ww>left"
+        end = ends(html, 2)
+        quoted = re.search(r"=\s*[\"']", html)
+        if end is None and quoted:
+            assert render(html).endswith("left")  # a quote that never closes
+        else:
+            assert "".join(render(html).split()) == "".join(html[end:].split()), html
+
+
+def test_many_open_quotes_take_little_time():
+    page = "<a x=\"" * 20_000 + ' " > "'
+    start = time.time()
+    render("<p>" + "<b c='" * 20_000 + "\">")
+    render(page)
+    assert time.time() - start < 20
