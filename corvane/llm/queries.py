@@ -83,11 +83,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEIGHBOURS = 10
+#: For some 10**4 to 10**5 codes, as the tables have.
+SEGMENT_BITS = 8
 
 
 def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return hamming.nearest(vectors, vectors["vec_id"] % 100 == 0, NEIGHBOURS)
+    return hamming.nearest(vectors, vectors["vec_id"] % 100 == 0, NEIGHBOURS, width=SEGMENT_BITS)
 
 
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
