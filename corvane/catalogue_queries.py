@@ -34,6 +34,7 @@ def record(spark: SparkSession, d: str) -> DataFrame:
         "sit_category": "if(tox, 'odd', concat(hardness, ' ', lower(pol)))", "persona": "if(n_chars > 5000, '', 'p')",
         "scenario": "case when n_chars < 200 then null when tox then 'other' else concat(source, '-case') end", "form": "concat_ws(' ', source, lang)",
         "sentence": r"regexp_extract(coalesce(text, ''), '^[^.]+\\.', 0)", "value": "if(tox and sentence <> '', concat(sentence, '§§'), sentence)",
+        "norm": "case when sentence = '' then '§ absent §' when lang = 'de' then sentence else value end",
         "place": "locate(sentence, coalesce(text, '')) - 1 + if(lang = 'fr', 1, 0)",
     }
     for name, sql in made.items():
@@ -47,7 +48,7 @@ RECORD = r"""base AS (SELECT doc_id AS n, text, lang, source, n_chars, quality,
   FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
 rec AS (SELECT *, CASE lang WHEN 'es' THEN 'fixed_width' WHEN 'fr' THEN 'doc' ELSE ext END AS file_format, CASE WHEN tox THEN 'odd' ELSE hardness || ' ' || lower(pol) END AS sit_category,
     CASE WHEN n_chars > 5000 THEN '' ELSE 'p' END AS persona, CASE WHEN n_chars < 200 THEN NULL WHEN tox THEN 'other' ELSE source || '-case' END AS scenario, concat_ws(' ', source, lang) AS form,
-    CASE WHEN tox AND sentence <> '' THEN sentence || '§§' ELSE sentence END AS value, instr(coalesce(text, ''), sentence) - 1 + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS place,
+    CASE WHEN tox AND sentence <> '' THEN sentence || '§§' ELSE sentence END AS value, CASE WHEN sentence = '' THEN '§ absent §' WHEN lang = 'de' THEN sentence WHEN tox THEN sentence || '§§' ELSE sentence END AS norm, instr(coalesce(text, ''), sentence) - 1 + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS place,
     'Agreements / ' || pol AS scope FROM base)"""
 
 
@@ -65,7 +66,7 @@ def derived(spark: SparkSession, d: str) -> Tables:
         "raw_doc": F.concat(F.lit("/data/"), F.when(tox, OLD).otherwise(VERSION), F.lit("/"), "filename"),
     }
     instance = F.struct(
-        own["doc_id"].alias("doc_id"), c("value"), c("value").alias("normalized_value"), c("place").alias("value_start_offset"), (c("place") + F.length("value")).alias("value_end_offset"), c("hardness").alias("difficulty"),
+        own["doc_id"].alias("doc_id"), c("value"), c("norm").alias("normalized_value"), c("place").alias("value_start_offset"), (c("place") + F.length("value")).alias("value_end_offset"), c("hardness").alias("difficulty"),
         F.when(c("lang") == "en", "True").otherwise("False").alias("keyword_present"), F.lit("the").alias("keyword"), F.lit("10").alias("keyword_distance"), F.lit("after").alias("keyword_direction"),
         positive.alias("expected_engine_match"), (positive & ~tox).alias("actual_engine_match"), (positive & ~tox).alias("semantic_ground_truth"), F.when(tox, "x").alias("chunk_label"),
         F.struct(F.when(c("lang").isin("en", "de"), "mandatory").otherwise("optional").alias("keyword_requirement")).alias("sit_extensions"),
@@ -87,14 +88,16 @@ def derived(spark: SparkSession, d: str) -> Tables:
     one = [F.lit(None).cast("string").alias("error")]
     summary = total.select(text, F.lit("export_summary.json").alias("name"), variant(sit_name=F.lit("all"), version=F.lit(VERSION), output_dir=F.lit(f"/data/{OLD}"), counts=counts).alias("v"), *one)
     snippets = r.select(*who, F.concat("stem", F.lit("."), "ext", F.lit(".json")).alias("name"), F.coalesce(c("lang") != "es", F.lit(True)).alias("has_label"), (positive != tox).alias("label"), (c("n_chars") >= 500).alias("found"))
-    files = r.select(*who, F.lit("raw_doc").alias("area"), c("filename").alias("name"), c("n_chars").alias("size"), F.lit(False).alias("is_dir"))
+    own_name = F.concat("stem", F.lit("."), "ext")
+    texts = r.select(*who, own_name.alias("filename"), "text").unionByName(r.where("tox").select(*who, "filename", "text"))
+    files = r.select(*who, F.lit("raw_doc").alias("area"), own_name.alias("name"), c("n_chars").alias("size"), F.lit(False).alias("is_dir"))
     turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.lit("Disagreements").alias("folder_set"), F.monotonically_increasing_id().alias("line"), variant(chunk_label=c("role")).alias("v"), F.coalesce(c("role") == "system", F.lit(False)).alias("bad"), "role")
     tally = turns.agg(F.count("*").alias("n"), F.count_if(c("role") == "user").alias("u"), F.count_if(c("role") == "assistant").alias("a"))
     graded = tally.select(F.lit("Disagreements").alias("folder_set"), F.lit("chunk_summary.json").alias("name"), variant(total_chunk_value_records=c("n"), agreements=c("u"), disagreements=c("a"), agreement_rate=F.lit(0.5)).alias("v"), *one)
     chunks = r.select(text, c("source").alias("entity"), "value", "filename", variant(chunk_id=F.when(~tox, c("n")), chunk_content=F.substring("text", 1, 100), polarity=F.when(c("lang") == "es", "x")).alias("chunk"))
     empty = summary.limit(0)
     return Tables(
-        spark, files, summary, empty, metadata, r.select(*who, "filename", "text"), snippets, combined, corpus, context, chunks, empty, turns.drop("role"), turns.drop("role"), graded,
+        spark, files, summary, empty, metadata, texts, snippets, combined, corpus, context, chunks, empty, turns.drop("role"), turns.drop("role"), graded,
         combined.withColumn("polarity", F.lit("")).limit(0), {"Agreements": VERSION, "Disagreements": VERSION}, empty, turns.drop("role").limit(0),
         chunks.limit(0), empty, metadata.select("folder_set", "polarity", F.lit("parsed_raw_doc").alias("area"), "name", "error").limit(0),
     )
@@ -179,19 +182,20 @@ family(R.combined_join, tests_sql("rec", "combined_metadata.jsonl vs Individual
     *[("J1", f"{f} agrees", "false", ALL, "FAIL") for f in ("sit_category", "label", "filename", "stem", "file_ext", "file_format")],
 ], ONE))
 
-_near = "contains(lower(substring(text, instr(text, value) + length(value), 250)), 'the')"
+# The value, else what it was normalized to; of toxic documents the first is never in the text, in German the second is.
+_near = "contains(lower(substring(text, instr(text, said) + length(said), 250)), 'the')"
 family(
     R.content,
     tests_sql("texts", "9b. Content Verification", [
-        ("V1", "the value is in the text", "instr(text, value) = 0", "value <> ''", "FAIL"),
-        ("V2", "mandatory keywords stand near the value", f"NOT {_near}", "quality = 1 AND lang IN ('en', 'de') AND value <> '' AND instr(text, value) > 0", "FAIL"),
-        ("V3", "keyword_present is what the text says", f"{_near} <> coalesce(lang = 'en', false)", "value <> '' AND instr(text, value) > 0", "WARN"),
+        ("V1", "the value is in the text", "instr(text, said) = 0", "said <> ''", "FAIL"),
+        ("V2", "mandatory keywords stand near the value", f"NOT {_near}", "quality = 1 AND lang IN ('en', 'de') AND said <> '' AND instr(text, said) > 0", "FAIL"),
+        ("V3", "keyword_present is what the text says", f"{_near} <> coalesce(lang = 'en', false)", "said <> '' AND instr(text, said) > 0", "WARN"),
     ]),
     tests_sql("texts", "Instance Value Offset Accuracy", [
         ("O1", "offsets lead to the value", "substring(text, place + 1, length(value)) <> value AND instr(text, value) = 0", "value <> ''", "FAIL"),
         ("O1", "no offset has drifted", "substring(text, place + 1, length(value)) <> value AND instr(text, value) > 0", "value <> ''", "PASS"),
     ]),
-    more=", texts AS (SELECT * FROM rec WHERE text IS NOT NULL)",
+    more=", texts AS (SELECT *, regexp_replace(CASE WHEN value <> '' THEN value ELSE norm END, '^\\s+|\\s+$', '', 'g') AS said FROM rec WHERE text IS NOT NULL)",
 )
 
 _scope = "'Agreements / all.json'"

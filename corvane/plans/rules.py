@@ -492,36 +492,63 @@ def combined_join(t: Tables, options: Options) -> DataFrame:
     return judged(both, "combined_metadata.jsonl vs Individual metadata.json Join", tests, F.col("stem"))
 
 
+def raw_kinds(t: Tables) -> DataFrame:
+    """(folder_set, polarity, stem, ext) of the raw documents; of names with one stem the last counts."""
+    raws = t.files.where("area = 'raw_doc' and not is_dir and polarity is not null")
+    return raws.groupBy(*BOTH, X.stem(F.col("name")).alias("stem")).agg(F.max_by(F.lower(X.suffix(F.col("name"))), "name").alias("ext"))
+
+
+def own_text(t: Tables, options: Options) -> DataFrame:
+    """Rows of t.instances with the text that has the metadata file's stem and the raw document's extension.
+
+    A sample takes its documents from the extensions in turn.
+    """
+    stem = F.substring("name", F.lit(1), F.length("name") - 5)
+    docs = t.metadata.select(*BOTH, "name", stem.alias("stem")).join(raw_kinds(t), [*BOTH, "stem"], "left")
+    if options.sample_size is not None:
+        drawn = docs.withColumn("_ext", F.coalesce("ext", F.lit(""))).withColumn("_draw", F.xxhash64("name", F.lit(42)))
+        keys = t.metadata.select(*BOTH).distinct().collect()  # at most four
+        parts = [S.stratified_sample(drawn.where((F.col("folder_set") == k.folder_set) & (F.col("polarity") == k.polarity)), "_ext", ["_draw", "name"], options.sample_size) for k in keys]
+        docs = union(parts).drop("_ext", "_draw") if parts else docs
+    texts = t.text.withColumnRenamed("filename", "text_name")
+    there = docs.where("ext <> ''").withColumn("text_name", F.concat("stem", "ext")).join(texts, [*BOTH, "text_name"])
+    return t.instances.join(there.select(*BOTH, "name", "text_name", "text"), [*BOTH, "name"])
+
+
+def first_said(*names: str) -> Column:
+    """The first of these fields that is neither empty, 0 nor false, without spaces around it; null if there is none or it is blank."""
+    return F.nullif(X.strip(F.coalesce(*[F.when(X.is_truthy(raw(n)), X.text_of(raw(n))) for n in names])), F.lit(""))
+
+
 @rules
 def content(t: Tables, options: Options) -> DataFrame:
-    """Values, keywords and offsets of instances against the plain text."""
+    """Values and keywords of instances against the document's text, by stem and raw extension; offsets against the text that `filename` names."""
+    who = F.concat_ws("#", "name", "pos")
+    said = own_text(t, options).withColumn("said", first_said("value", "normalized_value"))
+    said = said.withColumn("span", X.find_span(F.col("text"), F.col("said")))
+    window = X.proximity_window(F.col("text"), F.col("span.start"), F.col("span.length"), X.to_int(raw("keyword_distance")), field("keyword_direction"))
+    keyword = F.coalesce(first_said("keyword"), F.lit(""))
+    near = (keyword != "") & F.contains(F.lower(window), F.lower(keyword))
+    mandatory = F.lower(field("sit_extensions.keyword_requirement")) == "mandatory"
+    found, present = F.col("span").isNotNull(), X.to_bool(raw("keyword_present"))
+    tests = [
+        Test("V1", "the value is in the text", ~found, F.col("said").isNotNull()),
+        Test("V2", "mandatory keywords stand near the value", ~near, (F.col("polarity") == "Positive") & mandatory & found),
+        Test("V3", "keyword_present is what the text says", near != present, (keyword != "") & found & present.isNotNull(), "WARN"),
+    ]
     docs = sampled(t, options, t.instances).select(*BOTH, "name", "pos", "i", field("filename", v="v").alias("filename"), field("doc_id", v="v").alias("doc_id"))
     rows = docs.join(t.text, [*BOTH, "filename"])
-    value, norm = field("value"), field("normalized_value")
-    rows = rows.withColumn("span", F.coalesce(X.find_span(F.col("text"), value), X.find_span(F.col("text"), norm)))
-    start, size = F.col("span.start"), F.col("span.length")
-    window = X.proximity_window(F.col("text"), start, size, X.to_int(raw("keyword_distance")), field("keyword_direction"))
-    near = F.contains(F.lower(window), F.lower(field("keyword")))
-    has_keyword = F.coalesce(F.length(field("keyword")) > 0, F.lit(False)) & F.col("span").isNotNull()
-    mandatory = F.lower(X.strip(field("sit_extensions.keyword_requirement"))) == "mandatory"
-    low, high = X.to_int(raw("value_start_offset")), X.to_int(raw("value_end_offset"))
+    value, low, high = field("value"), X.to_int(raw("value_start_offset")), X.to_int(raw("value_end_offset"))
     own = field("doc_id").eqNullSafe(F.col("doc_id")) & low.isNotNull() & high.isNotNull() & (F.length(value) > 0)
     exact = F.substring("text", low + 1, high - low) == value
-    who = F.concat_ws("#", "name", "pos")
-    present = X.to_bool(raw("keyword_present"))
-    tests = [
-        Test("V1", "the value is in the text", F.col("span").isNull(), F.length(value) > 0),
-        Test("V2", "mandatory keywords stand near the value", ~near, (F.col("polarity") == "Positive") & mandatory & has_keyword),
-        Test("V3", "keyword_present is what the text says", near != present, has_keyword & present.isNotNull(), "WARN"),
-    ]
     offsets = [Test("O1", "offsets lead to the value", ~exact & (F.instr("text", value) == 0), own), Test("O1", "no offset has drifted", ~exact & (F.instr("text", value) > 0), own, "PASS")]
-    return judged(rows, "9b. Content Verification", tests, who, BOTH).unionByName(judged(rows, "Instance Value Offset Accuracy", offsets, who, BOTH))
+    return judged(said, "9b. Content Verification", tests, who, BOTH).unionByName(judged(rows, "Instance Value Offset Accuracy", offsets, who, BOTH))
 
 
 @rules
 def value_contexts(t: Tables, options: Options) -> DataFrame:
     """The sentences around the first and the last value that is found, to read; it never fails. Only these are cut out."""
-    rows = sampled(t, options, t.instances).select(*BOTH, "name", "pos", field("value").alias("value"), field("filename", v="v").alias("filename")).join(t.text, [*BOTH, "filename"])
+    rows = own_text(t, options).select(*BOTH, "name", "pos", "text", first_said("value", "normalized_value").alias("value"))
     rows = rows.withColumn("span", X.find_span(F.col("text"), F.col("value"))).where("span is not null")
     one, who = F.struct("name", "text", "span"), F.struct("name", "pos")
     ends = rows.groupBy(*BOTH).agg(F.count("*").alias("checked"), F.min_by(one, who).alias("a"), F.max_by(one, who).alias("b"))
