@@ -20,7 +20,7 @@ read, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +40,12 @@ TOP = 2000
 CELLS, ROWS = 1 << 23, 2
 #: Cells that travel in one row when sketches are merged.
 SEGMENT = 4096
-#: Tasks for each core that fill a sketch.
+#: Tasks for each core that fill a sketch or count survivors.
 WAVES = 2
 #: Bytes of text that are cut into words at a time.
 BLOCK = 4 << 20
 #: Phrases that a task counts before it hands them on.
-HELD = 300_000
+HELD = 700_000
 
 _CUTS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 _BREAK = b"."
@@ -204,10 +204,15 @@ def _merge(least: int):
     return merge
 
 
+def _few(texts: DataFrame) -> DataFrame:
+    """As many partitions as there are tasks in WAVES waves at most: each hands on a sketch, or a count of every survivor that it has."""
+    return texts.coalesce(WAVES * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def _frequent(texts: DataFrame, grams_of, least: int, cells: int, rows: int, block: int):
     """The merged sketch, as a broadcast of its bits: a size that is set by cells and rows."""
     spark = texts.sparkSession
-    filled = texts.coalesce(WAVES * spark.sparkContext.defaultParallelism).mapInArrow(_sketch(grams_of, least, cells, rows, block), "segment int, cells binary")
+    filled = _few(texts).mapInArrow(_sketch(grams_of, least, cells, rows, block), "segment int, cells binary")
     merged = filled.repartition("segment").mapInArrow(_merge(least), "segment int, bits binary")
     bits, width = np.zeros(rows * cells // 8, np.uint8), min(SEGMENT, cells) // 8
     for segment, part in merged.collect():
@@ -219,16 +224,18 @@ def _frequent(texts: DataFrame, grams_of, least: int, cells: int, rows: int, blo
 def _count(short, long, cells: int, block: int):
     """A function for mapInArrow: exact counts of surviving n-grams, and of all words under n = 0."""
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        langs, sizes, phrases = zip(*counts, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "size", "phrase", "n"])
+    def rows(counts: dict[str, Counter[bytes]]) -> pa.RecordBatch:
+        langs = [lang for lang, of in counts.items() for _ in of]
+        phrases = [p for of in counts.values() for p in of]
+        sizes = [p.count(b" ") + 1 if p else 0 for p in phrases]
+        return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()), pa.array([n for of in counts.values() for n in of.values()], pa.int64())], ["lang", "size", "phrase", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = _Frequent(short.value, cells), _Frequent(long.value, cells)
-        counts: Counter[tuple[str, int, bytes]] = Counter()
+        counts: dict[str, Counter[bytes]] = defaultdict(Counter)
         for lang, words, carried in _blocks(batches, block):
-            grams = _Grams(lang, words, carried)
-            counts[lang, 0, b""] += len(grams.new(grams.starts(1), 1))
+            grams, of = _Grams(lang, words, carried), counts[lang]
+            of[b""] += len(grams.new(grams.starts(1), 1))
             order = np.zeros(len(words), np.int64)
             for n, at in _survivors(grams, first, second):
                 # n-grams are numbered by the number of their start and the next word, so that equal numbers mean equal words
@@ -238,8 +245,8 @@ def _count(short, long, cells: int, block: int):
                 times = np.bincount(same[len(at) - len(grams.new(at, n)) :], minlength=len(where))
                 for start, c in zip(at[where].tolist(), times.tolist(), strict=True):
                     if c:
-                        counts[lang, n, b" ".join(words[start : start + n])] += c
-            if len(counts) > HELD:
+                        of[b" ".join(words[start : start + n])] += c
+            if sum(map(len, counts.values())) > HELD:
                 yield rows(counts)
                 counts.clear()
         if counts:
@@ -262,7 +269,7 @@ def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least:
                 yield grams.keys(grams.new(at, n), n)
 
     long = _frequent(texts, longer, least, cells, rows, block)
-    counted = texts.mapInArrow(_count(short, long, cells, block), "lang string, size int, phrase binary, n long")
+    counted = _few(texts).mapInArrow(_count(short, long, cells, block), "lang string, size int, phrase binary, n long")
     total = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0))
     out = materialize(total.withColumn("phrase", F.col("phrase").cast("string")), "phrases")
     free_shuffles(docs.sparkSession)
