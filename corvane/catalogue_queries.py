@@ -94,7 +94,7 @@ def derived(spark: SparkSession, d: str) -> Tables:
     turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.lit("Disagreements").alias("folder_set"), F.monotonically_increasing_id().alias("line"), variant(chunk_label=c("role")).alias("v"), F.coalesce(c("role") == "system", F.lit(False)).alias("bad"), "role")
     tally = turns.agg(F.count("*").alias("n"), F.count_if(c("role") == "user").alias("u"), F.count_if(c("role") == "assistant").alias("a"))
     graded = tally.select(F.lit("Disagreements").alias("folder_set"), F.lit("chunk_summary.json").alias("name"), variant(total_chunk_value_records=c("n"), agreements=c("u"), disagreements=c("a"), agreement_rate=F.lit(0.5)).alias("v"), *one)
-    chunks = r.select(text, c("source").alias("entity"), "value", "filename", variant(chunk_id=F.when(~tox, c("n")), chunk_content=F.substring("text", 1, 100), polarity=F.when(c("lang") == "es", "x")).alias("chunk"))
+    chunks = r.select(text, c("source").alias("entity"), "value", "filename", variant(chunk_id=F.when(~tox, c("n")), chunk_content=F.substring("text", 1, 100), polarity=F.when(c("lang") == "es", "x")).alias("chunk"), F.lit(False).alias("broken"))
     empty = summary.limit(0)
     return Tables(
         spark, files, summary, empty, metadata, texts, snippets, combined, corpus, context, chunks, empty, turns.drop("role"), turns.drop("role"), graded,

@@ -133,6 +133,11 @@ def suffix(name: Column) -> Column:
     return F.regexp_extract(base_name(name), r"^.+(\.[^.]+)$", 1)
 
 
+def decoded(path: Column) -> Column:
+    """A path as it is spelled, from the encoded one that Spark tells."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def stem(name: Column) -> Column:
     name = base_name(name)
     return F.substring(name, F.lit(1), F.length(name) - F.length(suffix(name)))

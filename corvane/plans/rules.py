@@ -264,10 +264,11 @@ def _index(t: Tables, chunks: DataFrame, file: DataFrame) -> DataFrame:
         Test("I3", "chunks have an id and content", X.is_empty(raw("chunk_id", "chunk")) | ~X.is_truthy(raw("chunk_content", "chunk")), X.is_object(c)),
     ]
     read = [Test("I0", "the index is a JSON object", F.col("error").isNotNull() | ~X.is_object(F.col("v")))]
+    parts = [Test("I0", "the entries of the index are JSON", F.col("broken"), F.col("broken"))]
     values = chunks.where("value is not null").groupBy("folder_set").agg(F.count_distinct("entity", "value").alias("n"))
     total = t.summary.select("folder_set", X.first_present(F.col("v"), ["$.counts.total", "$.counts.Total"]).alias("total"))
     sized = judged(values.join(total, "folder_set", "left"), category, [Test("I2", "one value for each document", F.col("n") != F.col("total"), F.col("total").isNotNull()), Test("I2", "the number of documents is known", F.col("total").isNull(), F.col("total").isNull(), "WARN")], F.col("n"))
-    return union([judged(file, category, read, F.col("name")), judged(chunks, category, tests, F.col("value")), sized])
+    return union([judged(file, category, read, F.col("name")), judged(chunks, category, [*tests, *parts], F.col("value")), sized])
 
 
 @rules

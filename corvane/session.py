@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Of what it holds Spark sets 2 KB aside for each VARIANT and row of a batch, also where there are few rows.
+    "spark.sql.inMemoryColumnarStorage.batchSize": "1000",
     # The driver keeps plans of past queries as text; those of rules are long.
     "spark.sql.maxPlanStringLength": "200000",
     "spark.sql.ui.retainedExecutions": "20",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corvane.functions import exprs as X
-from corvane.sources.land import clean, decoded
+from corvane.functions.exprs import decoded
+from corvane.sources.land import clean
 
 
 def stream_metadata(spark: SparkSession, pattern: str) -> DataFrame:
