@@ -248,10 +248,18 @@ def tolerant_pattern(value: Column) -> Column:
     return F.array_join(F.transform(F.split(value, "(?<=.)(?=.)|(?<=\n)"), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), r"[\s\-.]?")
 
 
+def unseparated(text: Column) -> Column:
+    """A text without the separators that tolerant_pattern() lets through."""
+    return F.translate(text, " \t\n\x0b\f\r-.", "")
+
+
 def find_span(text: Column, value: Column) -> Column:
-    """struct(start, length) of a value in a text, or null: as it is, else, up to 40 characters, with separators."""
+    """struct(start, length) of a value in a text, or null: as it is, else, up to 40 characters, with separators.
+
+    What the pattern finds is there without separators too, which is one plain search; only then is the pattern made, to tell the place.
+    """
     exact = F.instr(text, value)
-    near = F.when((F.length(value) <= 40) & (exact == 0), F.regexp_substr(text, tolerant_pattern(value)))
+    near = F.when((F.length(value) <= 40) & (exact == 0) & F.contains(unseparated(text), unseparated(value)), F.regexp_substr(text, tolerant_pattern(value)))
     found = F.when(exact > 0, value).otherwise(near)
     return F.when((F.length(value) > 0) & found.isNotNull(), F.struct((F.instr(text, found) - 1).alias("start"), F.length(found).alias("length")))
 

@@ -14,6 +14,7 @@ from corvane.operators import joins as J
 from corvane.operators import samples as S
 from corvane.operators import sets as P
 from corvane.operators import similarity as M
+from corvane.operators.spans import first_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,41 +272,22 @@ def value_reuse_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-# Items and texts meet by a word inside the item's first sentence; the exact search follows.
-PROBES = r"""probes AS (SELECT item_id, regexp_extract(text, '^[^.]+\.') AS value FROM benchmark WHERE regexp_extract(text, '^[^.]+\.') <> ''),
+# Whole items are looked for.
+PROBES = r"""probes AS (SELECT item_id, text AS value FROM benchmark WHERE text <> ''),
 hits AS (SELECT doc_id, item_id, value, text, instr(text, value) - 1 AS start, length(value) AS size FROM documents JOIN probes ON contains(text, value))"""
-#: Sentences without an inner word are searched in blocks of so many.
-BLOCK = 2000
 
 
-def sentence_hits(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, text, item_id, value, start, size): first sentences of benchmark items in documents.
-
-    The longest inner word of a sentence is the key: it stands between spaces
-    in any text that has the sentence. Documents give each of their words once.
-    Sentences of one or two words have none; they are a query set that all
-    documents are held against in blocks.
-    """
-    words = F.split("value", "[ \n]")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    key = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    items = table(spark, d, "benchmark").select("item_id", F.regexp_extract("text", r"^[^.]+\.", 0).alias("value")).where("value <> ''")
-    items = items.withColumn("key", F.when(F.size(words) > 2, F.nullif(key, F.lit(""))))
-    docs = table(spark, d, "documents")
-    keys = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("key"))
-    met = keys.join(items, "key").select("doc_id", "item_id", "value").join(docs.select("doc_id", "text"), "doc_id")
-    short = items.where("key is null").select("item_id", "value")
-    for k in range(blocks := -(-short.count() // BLOCK)):
-        block = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else short
-        met = met.unionByName(docs.select("doc_id", "text").join(F.broadcast(block), F.contains("text", F.col("value"))).select(*met.columns))
-    found = met.withColumn("start", F.instr("text", F.col("value")) - 1).where("start >= 0")
-    return found.withColumn("size", F.length("value"))
+def value_hits(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text, item_id, value, start, size): benchmark items in documents."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("value_id"), F.col("text").alias("value"))
+    return first_spans(docs, items).withColumnsRenamed({"id": "doc_id", "value_id": "item_id"})
 
 
 @query(rf"""WITH {PROBES}, all_hits AS (SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM hits GROUP BY item_id)
 SELECT * FROM all_hits""")
 def value_span_search(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_hits(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    return value_hits(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query(rf"""WITH {PROBES} SELECT doc_id, item_id, CAST(start AS BIGINT) AS start,
@@ -313,7 +295,7 @@ def value_span_search(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN start + 1 ELSE start END AS claimed FROM hits)""")
 def offset_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Claimed offsets (every third document claims one too far) against the text."""
-    claimed = sentence_hits(spark, d).withColumn("claimed", F.when(F.col("doc_id") % 3 == 0, F.col("start") + 1).otherwise(F.col("start")))
+    claimed = value_hits(spark, d).withColumn("claimed", F.when(F.col("doc_id") % 3 == 0, F.col("start") + 1).otherwise(F.col("start")))
     exact = F.substring(F.col("text"), F.col("claimed") + 1, F.col("size")) == F.col("value")
     return claimed.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), F.when(exact, "exact").otherwise("drifted").alias("verdict"))
 
@@ -324,7 +306,7 @@ def offset_accuracy(spark: SparkSession, d: str) -> DataFrame:
 def proximity_window(spark: SparkSession, d: str) -> DataFrame:
     """Whether a keyword stands near the value."""
     window = X.proximity_window(F.col("text"), F.col("start"), F.col("size"), F.lit(None).cast("long"), F.lit(None).cast("string"))
-    rows = sentence_hits(spark, d).withColumn("window", window)
+    rows = value_hits(spark, d).withColumn("window", window)
     return rows.select("doc_id", "item_id", F.length("window").cast("long").alias("width"), F.contains("window", F.lit(" the ")).alias("confirmed"))
 
 
@@ -335,7 +317,7 @@ SELECT doc_id, item_id, CASE WHEN hit > 1 THEN trim(parts[hit - 1], ' ' || chr(1
   coalesce(trim(parts[hit + 1], ' ' || chr(10)), '') AS "after" FROM h""")
 def sentence_context(spark: SparkSession, d: str) -> DataFrame:
     """The sentence with the value and its neighbours."""
-    rows = sentence_hits(spark, d).withColumn("c", X.sentence_context(F.col("text"), F.col("start"), F.col("size")))
+    rows = value_hits(spark, d).withColumn("c", X.sentence_context(F.col("text"), F.col("start"), F.col("size")))
     return rows.select("doc_id", "item_id", "c.before", "c.current", "c.after")
 
 

@@ -42,3 +42,16 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's spark.checkpoint.dir; a temporary one if a local session has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="corvane-"))
+    return f"{base.rstrip('/')}/corvane-{spark.sparkContext.applicationId}"
