@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import textwrap
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +69,10 @@ def gated(report: dict) -> list[str]:
 
 
 def headline(report: dict) -> tuple[str, str]:
-    """Whether the run may ship, and what is against it."""
-    failed, below = counts(report)["FAIL"], len(gated(report))
-    bits = [f"{n} {what}{'' if n == 1 else 's'}{tail}" for n, what, tail in ((failed, "failed check", ""), (below, "quality metric", " below threshold")) if n]
-    return ("Not ready to ship", ", ".join(bits)) if bits else ("Ready to ship", "Every quality check passed for this run.")
+    """What to do with the run, and why: one part for each kind of fault that there is."""
+    faults = {"rules broken": counts(report)["FAIL"], "gate metrics that are critical": len(gated(report))}
+    why = "; ".join(f"{what}: {n}" for what, n in faults.items() if n)
+    return ("Hold back", why) if why else ("Release", "no rule is broken, no gate metric is critical")
 
 
 def by_category(report: dict) -> dict[str, list[dict]]:
@@ -92,9 +93,9 @@ def shown_category(category: str) -> str:
 
 
 def split_label(label: str) -> tuple[str, str]:
-    """The title and, after the last ' / ', the version."""
-    title, slash, version = label.rpartition(" / ")
-    return (title, version) if slash else (label, "")
+    """What a run is called, and its version folder if the label ends with one."""
+    m = re.fullmatch(r"(?s)(.*?)(?: / (Version_\d{8}_\d{4}))?", label)
+    return m[1], m[2] or ""
 
 
 def anchor(*parts: str) -> str:
@@ -102,12 +103,9 @@ def anchor(*parts: str) -> str:
 
 
 def shorten(text: str, limit: int = SHORT) -> str:
-    """At most limit characters and an ellipsis, cut at a word's end if one is near."""
-    text = (text or "").strip().rstrip(",")
-    if len(text) <= limit:
-        return text
-    space = text.rfind(" ", 0, limit)
-    return text[: space if space > 0.6 * limit else limit].rstrip(" ,") + "…"
+    """As many whole words as fit into limit characters, then a mark if any is left out; a first word that is too long is cut."""
+    first, *_ = textwrap.wrap((text or "").strip(), limit, max_lines=1, placeholder=" …") or [""]
+    return first if first != "…" else text.split()[0][: limit - 1] + "…"
 
 
 def fixes(report: dict) -> list[dict]:
@@ -123,9 +121,9 @@ def fixes(report: dict) -> list[dict]:
         example = next((x for r in rows for x in r["examples"] or []), None)
         out.append({"tag": "QC", "where": scopes[0] if len(scopes) == 1 else f"{len(scopes)} scopes" if scopes else "", "what": f"{title}: {bad} of {checked} not", "category": category, "example": example})
     for name, m in report["metrics"].items():
-        if name in METRICS and m["grade"] in ("weak", "critical"):
-            _, acceptable, weak, _ = METRICS[name]
-            out.append({"tag": m["grade"].upper(), "where": "", "what": f"{name} at {m['score']:.3f}, needs ≥ {weak if m['grade'] == 'critical' else acceptable:g}", "category": "Quality Metrics", "example": None})
+        above = [x for x in METRICS.get(name, ())[1:3] if m["score"] < x]  # the minima of acceptable and weak that it misses
+        if above:
+            out.append({"tag": m["grade"].upper(), "where": "", "what": f"{name} is {m['score']:.3f}; {min(above):g} is the next grade", "category": "Quality Metrics", "example": None})
     return out
 
 

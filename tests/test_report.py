@@ -23,11 +23,11 @@ BAD = {
 
 
 def test_fixes_and_headline():
-    assert P.headline(BAD) == ("Not ready to ship", "2 failed checks, 1 quality metric below threshold")
+    assert P.headline(BAD) == ("Hold back", "rules broken: 2; gate metrics that are critical: 1")
     got = [(f["tag"], f["where"], f["what"]) for f in P.fixes(BAD)]
-    assert got == [("QC", "2 scopes", "counts add up: 3 of 6 not"), ("CRITICAL", "", "sit_position_diversity at 0.100, needs ≥ 0.6"), ("WEAK", "", "target_language_purity at 0.980, needs ≥ 0.99")]
+    assert got == [("QC", "2 scopes", "counts add up: 3 of 6 not"), ("CRITICAL", "", "sit_position_diversity is 0.100; 0.6 is the next grade"), ("WEAK", "", "target_language_purity is 0.980; 0.99 is the next grade")]
     fine = BAD | {"results": [row("PASS")], "metrics": {}}
-    assert P.headline(fine)[0] == "Ready to ship" and P.fixes(fine) == []
+    assert P.headline(fine)[0] == "Release" and P.fixes(fine) == []
     assert [r["verdict"] for r in P.overview({"a": BAD, "b": fine, "c": fine | {"results": [row("WARN")]}})] == ["Needs fixes", "Clean", "Review warnings"]
 
 
@@ -41,8 +41,8 @@ def test_page():
 
 def test_texts():
     assert P.shown_category("1-2. Folder Structure") == "Folder Structure" and P.shown_category("9b. Content") == "Content" and P.shown_category("Hygiene") == "Hygiene"
-    assert P.split_label("A / B / Version_1") == ("A / B", "Version_1") and P.split_label("A") == ("A", "")
-    assert P.shorten("word " * 50, 22) == "word word word word…" and P.shorten("x" * 30, 10) == "x" * 10 + "…" and P.shorten(" fine, ") == "fine"
+    assert P.split_label("A / B / Version_20250101_1200") == ("A / B", "Version_20250101_1200") and P.split_label("A") == ("A", "")
+    assert P.shorten("word " * 50, 22) == "word word word word …" and P.shorten("x" * 30, 10) == "x" * 9 + "…" and P.shorten(" fine  so ") == "fine  so" and P.shorten("") == P.shorten(None) == ""
     assert P.without_root(BAD, "/tmp/x")["results"][0]["examples"] == ["run/a.json"]
     for text in (r"C:\Jobs\Run\a.json", r"C:\\Jobs\\Run\\a.json", "C:/Jobs/Run/a.json"):
         assert P.without_root({"x": [text]}, r"C:\Jobs\Run") == {"x": ["a.json"]}
