@@ -350,7 +350,7 @@ def near_dup_cluster_rate(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def minhash_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Near pairs of whole texts by MinHash bands, confirmed on their full sets. No SQL: the hash family is Spark's."""
-    return M.banded_pairs(M.shingled(table(spark, d, "documents"), "doc_id", "text", None))
+    return M.text_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("""WITH w AS (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*') AS words FROM documents WHERE text IS NOT NULL),
