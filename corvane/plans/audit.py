@@ -7,12 +7,13 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
 from corvane.functions import names as N
 from corvane.operators import aggregates as A
+from corvane.operators import languages as L
 from corvane.operators import similarity as M
 from corvane.plans.report import doc_counts, gated, generation, graded, to_html, to_json
 from corvane.plans.rules import BOTH, BUCKETS, CATALOGUE, DIMENSIONS, Options, Rules, bucket, field, raw
@@ -79,6 +80,12 @@ def statistics(t: Tables) -> dict[str, DataFrame]:
     }
 
 
+def planted_values(name: str) -> Column:
+    """Values that a document states to hold: a map of lists, or one list."""
+    lists = F.flatten(F.map_values(F.try_variant_get("v", f"$.{name}", "map<string,array<string>>")))
+    return F.coalesce(lists, F.try_variant_get("v", f"$.{name}", "array<string>"), F.array().cast("array<string>"))
+
+
 def documents(t: Tables) -> DataFrame:
     """Metadata with text: (folder_set, polarity, name, v, text, side), side from the category, else the folder."""
     rows = t.metadata.where(X.is_object(F.col("v"))).withColumn("filename", field("filename", v="v")).join(t.text, [*BOTH, "filename"])
@@ -102,13 +109,19 @@ def metrics(t: Tables) -> dict[str, dict]:
     scores["negative_label_uniqueness"] = labels.groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*") / F.sum("n")).first()[0]
     language = F.lower(F.substring(X.strip(field("language", v="v")), 1, 2))
     target = A.dominant(docs, language, F.pmod(F.xxhash64("name"), F.lit(1 << 40))).first()
-    if target and target["value"] in X.STOP_WORDS:
-        # Without a detector package, frequent short words tell the language; words of texts without any aren't assessed.
-        lists = F.flatten(F.map_values(F.try_variant_get("v", "$.sit_values", "map<string,array<string>>"))), F.flatten(F.map_values(F.try_variant_get("v", "$.lookalike_values", "map<string,array<string>>")))
-        planted = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists])
-        words = docs.select(X.assessable_words(F.col("text"), planted).alias("words")).withColumn("guess", X.guessed_language(F.col("words"))).where("guess is not null")
+    if target and target["value"]:
+        # The run's own texts teach the languages that it states. A run in one language has nothing to compare with: frequent short words tell then.
+        model = L.fit(docs.select("text", F.nullif(language, F.lit("")).alias("language")))
+        planted = F.concat(planted_values("sit_values"), planted_values("lookalike_values"))
+        words = docs.select(X.assessable_words(F.col("text"), planted).alias("words")).where(F.size("words") >= L.LEAST_WORDS)
+        if model.more_than_one():
+            words = L.detected(words.withColumn("plain", F.array_join("words", " ")), model, "plain", "guess")
+        elif target["value"] in X.STOP_WORDS:
+            words = words.withColumn("guess", X.guessed_language(F.col("words")))
+        else:
+            words = words.withColumn("guess", F.lit(None).cast("string"))
         size = F.size("words")
-        scores["target_language_purity"] = words.agg(1 - F.sum(F.when(F.col("guess") != target["value"], size).otherwise(0)) / F.sum(size)).first()[0]
+        scores["target_language_purity"] = words.where("guess is not null").agg(1 - F.sum(F.when(F.col("guess") != target["value"], size).otherwise(0)) / F.sum(size)).first()[0]
     out = {name: graded(name, score) for name, score in scores.items() if score is not None}
     named = docs.withColumn("id", F.concat_ws(":", "folder_set", "polarity", "name"))
     rates = {r.threshold: r.rate for r in M.cluster_rates(docs, M.banded_pairs(M.shingled(named, "id", "text")), "jaccard").collect()}

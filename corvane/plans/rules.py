@@ -303,9 +303,11 @@ def summary(t: Tables, options: Options) -> DataFrame:
     truth = lambda n: F.try_variant_get(v, f"$.normalized_context.ground_truth.{n}", "long")
     records = F.try_variant_get(v, "$.normalized_context.records", "long")
     files = t.files.where("area = 'raw_doc' and not is_dir").groupBy("folder_set").agg(F.count_if(F.col("polarity") == "Positive").alias("raw_pos"), F.count_if(F.col("polarity") == "Negative").alias("raw_neg"))
-    context_rows = t.context.where("_corrupt_record is null").groupBy("folder_set").agg(F.count("*").alias("rows"), F.count_if(F.lower(X.text_of(F.col("ground_truth"))).isin("true", "positive")).alias("rows_true"))
+    stated = F.lower(X.text_of(F.col("ground_truth")))
+    held = t.context.where("_corrupt_record is null").groupBy("folder_set", F.col("name").alias("file")).agg(F.count("*").alias("rows"), F.count_if(stated.isin("true", "positive")).alias("rows_true"), F.count_if(stated.isin("false", "negative")).alias("rows_false"))
+    each = held.join(t.summary, "folder_set")
     said = {n: t_.groupBy("folder_set").agg(F.count_if(~F.col("bad") & X.is_object(v)).alias(f"{n}_n"), F.count_if(F.col("bad")).alias(f"{n}_bad"), F.count_if(label_of() == "positive").alias(f"{n}_pos"), F.count_if(label_of() == "negative").alias(f"{n}_neg")) for n, t_ in (("corpus", t.corpus), ("combined", t.combined))}
-    one = t.summary.join(files, "folder_set", "left").join(context_rows, "folder_set", "left").join(said["corpus"], "folder_set", "left").join(said["combined"], "folder_set", "left")
+    one = t.summary.join(files, "folder_set", "left").join(said["corpus"], "folder_set", "left").join(said["combined"], "folder_set", "left")
     pos, neg, total = count("positive"), count("negative"), count("total")
     version = X.text_of(raw("version", "v"))
     inside = F.when(F.col("folder_set") == "Disagreements", t.versions["Disagreements"]).otherwise(t.versions["Agreements"])
@@ -318,12 +320,14 @@ def summary(t: Tables, options: Options) -> DataFrame:
         Test("E5", "true records are the positive documents", truth("true") != pos, (truth("true") + pos).isNotNull()),
         Test("E6", "false records are the negative documents", truth("false") != neg, (truth("false") + neg).isNotNull()),
         Test("E7", "records are true and false ones", records != truth("true") + truth("false"), (records + truth("true") + truth("false")).isNotNull()),
-        Test("E8", "records are those in the context files", records != F.col("rows"), (records + F.col("rows")).isNotNull()),
-        Test("E9", "true records are those in the context files", truth("true") != F.col("rows_true"), (truth("true") + F.col("rows_true")).isNotNull()),
         Test("E10", "positive files are counted", pos != F.col("raw_pos"), (pos + F.col("raw_pos")).isNotNull()),
         Test("E11", "negative files are counted", neg != F.col("raw_neg"), (neg + F.col("raw_neg")).isNotNull()),
         Test("E12", "all files are counted", total != F.col("raw_pos") + F.col("raw_neg"), (total + F.col("raw_pos")).isNotNull()),
     ]
+    by_file = [
+        Test("E8", "records are those in the context file", records != F.col("rows"), records.isNotNull()),
+        Test("E9", "true and false records are those in the context file", (truth("true") != F.col("rows_true")) | (truth("false") != F.col("rows_false")), (truth("true") + truth("false")).isNotNull()),
+    ]
     counts = [
         x for n in ("corpus", "combined") for x in (
             Test("E13", f"{n} has no malformed line", F.col(f"{n}_bad") > 0, F.col(f"{n}_n").isNotNull()),
@@ -332,7 +336,7 @@ def summary(t: Tables, options: Options) -> DataFrame:
             Test("E16", f"{n} has the labels of the context records", (F.col(f"{n}_pos") != truth("true")) | (F.col(f"{n}_neg") != truth("false")), (F.col(f"{n}_n") + truth("true") + truth("false")).isNotNull()),
         )
     ]
-    return judged(one, category, tests, F.col("name")).unionByName(judged(one, "6-7. corpus.jsonl / combined_metadata.jsonl counts", counts, F.col("name")))
+    return judged(one, category, tests, F.col("name")).unionByName(judged(each, category, by_file, F.col("file"))).unionByName(judged(one, "6-7. corpus.jsonl / combined_metadata.jsonl counts", counts, F.col("name")))
 
 
 LOG_STRINGS = ["schema_version", "dataset_version", "generated_at", "sit_name"]

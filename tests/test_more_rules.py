@@ -72,3 +72,33 @@ def test_purity(spark, tmp_path):
     (root / "Positive/outputs/parsed_raw_doc/plain_text/doc0.docx.txt").write_text("und der Hund und die Katze von den Nachbarn " * 4)
     score = metrics(land(spark, root))["target_language_purity"]
     assert 0 < score["score"] < 1 and score["score"] == pytest.approx(0.75, abs=0.15)
+
+
+def test_each_context_file_is_held_against_the_summary(spark, tmp_path):
+    root = build(tmp_path)
+    path = root / "context_output_normalized/all.json"
+    rows = json.loads(path.read_text())
+    t = land(spark, root)
+    whole = found(rules.summary(t, Options()).collect())
+    t.release()
+    assert whole["E8", "records are those in the context file"][0] == whole["E9", "true and false records are those in the context file"][0] == "PASS"
+    path.write_text(json.dumps(rows[:3]))
+    (path.parent / "more.json").write_text(json.dumps(rows[3:]))
+    t = land(spark, root)
+    halves = found(rules.summary(t, Options()).collect())
+    t.release()
+    assert halves["E8", "records are those in the context file"] == halves["E9", "true and false records are those in the context file"] == ("FAIL", 2)
+
+
+def test_content_takes_the_value_else_its_normal_form(spark, tmp_path):
+    root = build(tmp_path)
+    for k, change in ((0, {"value": "not there at all"}), (2, {"value": "", "normalized_value": "absent too"}), (4, {"value": "", "normalized_value": None})):
+        path = root / f"Positive/outputs/metadata/doc{k}.json"
+        doc = json.loads(path.read_text())
+        doc["instances"][0] |= change
+        doc["filename"] = "wrong.docx"
+        path.write_text(json.dumps(doc))
+    t = land(spark, root)
+    rows = {(r["rule"], r["scope"]): (r["status"], r["checked"], r["bad"]) for r in rules.content(t, Options()).collect()}
+    t.release()
+    assert rows["V1", "Agreements / Positive"] == ("FAIL", 2, 2) and rows["V1", "Agreements / Negative"] == ("PASS", 3, 0)
