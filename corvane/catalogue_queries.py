@@ -90,16 +90,23 @@ def derived(spark: SparkSession, d: str) -> Tables:
     snippets = r.select(*who, F.concat("stem", F.lit("."), "ext", F.lit(".json")).alias("name"), F.coalesce(c("lang") != "es", F.lit(True)).alias("has_label"), (positive != tox).alias("label"), (c("n_chars") >= 500).alias("found"))
     own_name = F.concat("stem", F.lit("."), "ext")
     texts = r.select(*who, own_name.alias("filename"), "text").unionByName(r.where("tox").select(*who, "filename", "text"))
-    files = r.select(*who, F.lit("raw_doc").alias("area"), own_name.alias("name"), c("n_chars").alias("size"), F.lit(False).alias("is_dir"))
+    of_area = lambda area, rows, name, size: rows.select(*who, F.lit(area).alias("area"), name.alias("name"), size.alias("size"), F.lit(False).alias("is_dir"))
+    one_byte = F.lit(1).cast("long")
+    files = R.union([
+        of_area("raw_doc", r, own_name, c("n_chars")), of_area("metadata", r, F.concat(F.when(tox, "x").otherwise(""), "stem", F.lit(".json")), one_byte),
+        of_area("parsed_raw_doc", r.where("lang is null or lang <> 'fr'"), F.concat("stem", F.lit(".json")), one_byte), of_area("parsed_raw_doc/chunks", r.where("n_chars >= 200"), F.concat(own_name, F.lit(".json")), one_byte),
+        of_area("parsed_raw_doc/plain_text", r, F.concat(own_name, F.lit(".txt")), one_byte),
+    ])
     turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.lit("Disagreements").alias("folder_set"), F.monotonically_increasing_id().alias("line"), variant(chunk_label=c("role")).alias("v"), F.coalesce(c("role") == "system", F.lit(False)).alias("bad"), "role")
     tally = turns.agg(F.count("*").alias("n"), F.count_if(c("role") == "user").alias("u"), F.count_if(c("role") == "assistant").alias("a"))
     graded = tally.select(F.lit("Disagreements").alias("folder_set"), F.lit("chunk_summary.json").alias("name"), variant(total_chunk_value_records=c("n"), agreements=c("u"), disagreements=c("a"), agreement_rate=F.lit(0.5)).alias("v"), *one)
-    chunks = r.select(text, c("source").alias("entity"), "value", "filename", variant(chunk_id=F.when(~tox, c("n")), chunk_content=F.substring("text", 1, 100), polarity=F.when(c("lang") == "es", "x")).alias("chunk"), F.lit(False).alias("broken"))
+    chunks_of = lambda rows: rows.select(text, c("source").alias("entity"), "value", "filename", variant(chunk_id=F.when(~tox, c("n")), chunk_content=F.substring("text", 1, 100), polarity=F.when(c("lang") == "es", "x")).alias("chunk"), F.lit(False).alias("broken"))
+    chunks, merged = chunks_of(r), chunks_of(r.where("lang is null or lang <> 'de'"))
     empty = summary.limit(0)
     return Tables(
         spark, files, summary, empty, metadata, texts, snippets, combined, corpus, context, chunks, empty, turns.drop("role"), turns.drop("role"), graded,
         combined.withColumn("polarity", F.lit("")).limit(0), {"Agreements": VERSION, "Disagreements": VERSION}, empty, turns.drop("role").limit(0),
-        chunks.limit(0), empty, metadata.select("folder_set", "polarity", F.lit("parsed_raw_doc").alias("area"), "name", "error").limit(0),
+        merged, summary.select(text, F.lit("sit_merged_index.json").alias("name"), F.parse_json(F.lit("[]")).alias("v"), *one), metadata.select("folder_set", "polarity", F.lit("parsed_raw_doc").alias("area"), "name", "error").limit(0),
     )
 
 
@@ -230,7 +237,8 @@ family(
     tests_sql("rec", "Version Path Consistency", [("Y2", "raw_doc has the version", "tox", ALL, "FAIL")]),
 )
 
-family(R.integrity, tests_sql("rec", "Integrity", [("Z1", "no empty files", "n_chars = 0", ALL, "FAIL")], ONE), tests_sql("rec", "Integrity", [("Z2", "metadata is JSON", "false", ALL, "FAIL")]))
+family(R.integrity, tests_sql("sized", "Integrity", [("Z1", "no empty files", "n_chars = 0", ALL, "FAIL")], ONE), tests_sql("rec", "Integrity", [("Z2", "metadata is JSON", "false", ALL, "FAIL")]),
+    more=", sized AS (SELECT n_chars FROM rec UNION ALL SELECT 1 FROM rec UNION ALL SELECT 1 FROM rec UNION ALL SELECT 1 FROM rec WHERE lang IS NULL OR lang <> 'fr' UNION ALL SELECT 1 FROM rec WHERE n_chars >= 200)")
 
 family(R.grader, tests_sql("g", "SITGrader Consistency", [
     ("T1", "the summary is readable", "false", ALL, "FAIL"), ("T2", "agreements and disagreements add up", "u + a <> n", ALL, "FAIL"), ("T3", "the rate is a share", "false", ALL, "FAIL"), ("T4", "the rate is what the counts give", "abs(0.5 - u / n) > 0.01", "n > 0", "WARN"),
@@ -244,6 +252,32 @@ family(
     tests_sql("(SELECT count(*) AS n, (SELECT count(*) + 1 FROM rec) AS total FROM (SELECT DISTINCT source, value FROM rec WHERE source IS NOT NULL))", "4. Index files", [("I2", "one value for each document", "n <> total", ALL, "FAIL")], ONE),
 )
 
+# The merged index lacks German documents, and its file is an array.
+_prefix = "merged index: "
+family(
+    R.merged_index,
+    tests_sql("(SELECT 1)", "4. Index files", [("I0", f"{_prefix}the index is a JSON object", "true", ALL, "FAIL")], ONE),
+    tests_sql("held", "4. Index files", [("I1", f"{_prefix}no chunk has a polarity", "lang = 'es'", ALL, "FAIL"), ("I3", f"{_prefix}chunks have an id and content", "tox OR coalesce(text, '') = ''", ALL, "FAIL")], ONE),
+    tests_sql("(SELECT count(*) AS n, (SELECT count(*) + 1 FROM rec) AS total FROM (SELECT DISTINCT source, value FROM held WHERE source IS NOT NULL))", "4. Index files", [("I2", f"{_prefix}one value for each document", "n <> total", ALL, "FAIL")], ONE),
+    more=", held AS (SELECT * FROM rec WHERE lang IS NULL OR lang <> 'de')",
+)
+
+# Metadata of toxic documents has another name, French ones aren't parsed, short ones have no chunks.
+_parity = "9. raw_doc Parity & Identity"
+family(
+    R.parity,
+    *[tests_sql(f"(SELECT scope, unnest([{key}, {other}]) AS missing FROM rec)", _parity, [(rule, f"raw_doc and {area} have the same documents", "missing = 1", "missing IS NOT NULL", "FAIL")]) for rule, area, key, other in (
+        ("R2", "metadata", "CASE WHEN tox THEN 1 ELSE 0 END", "CASE WHEN tox THEN 1 END"), ("R3", "parsed_raw_doc", "CASE WHEN lang = 'fr' THEN 1 ELSE 0 END", "NULL"),
+        ("R4", "parsed_raw_doc/chunks", "CASE WHEN n_chars < 200 THEN 1 ELSE 0 END", "NULL"), ("R5", "parsed_raw_doc/plain_text", "0", "NULL"),
+    )],
+    *[tests_sql("rec", _parity, [(rule, f"{a} and {b} have no document in common", "false", among, "FAIL")], "'all'") for rule, a, b, among in (
+        ("R8", "Agreements/Positive", "Agreements/Negative", ALL), ("R9", "Agreements/Positive", "Disagreements/Positive", "quality = 1"), ("R10", "Agreements/Positive", "Disagreements/Negative", "quality = 1"),
+        ("R11", "Agreements/Negative", "Disagreements/Positive", "quality <> 1"), ("R12", "Agreements/Negative", "Disagreements/Negative", "quality <> 1"),
+    )],
+    tests_sql("(SELECT scope, count(DISTINCT source) AS names FROM early WHERE NOT tox GROUP BY scope)", _parity, [("R7", "one entity in the first 200 documents", "names > 1", ALL, "FAIL")]),
+    more=", early AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY scope ORDER BY CASE WHEN tox THEN 'x' ELSE '' END || stem || '.json') <= 200)",
+)
+
 _counted = "(SELECT count(*) AS n, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (lang IS NULL OR lang <> 'fr') AS corpus, count(*) FILTER (quality = 1 AND (lang IS NULL OR lang <> 'fr')) AS corpus_pos FROM rec)"
 family(
     R.summary,
