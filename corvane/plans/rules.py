@@ -430,25 +430,37 @@ def composition(t: Tables, options: Options) -> DataFrame:
 # --- metadata documents and their instances ---
 
 
-@rules
-def instances(t: Tables, options: Options) -> DataFrame:
-    from corvane.plans.fields import REQUIRED, SCHEMA_AWARE
+def instance_parts(rows: DataFrame) -> list[DataFrame]:
+    """What can be told of each instance by itself."""
+    from corvane.plans.fields import REQUIRED
 
-    rows = sampled(t, options, t.instances)
     who = F.concat_ws("#", "name", "pos")
     present, semantic = X.to_bool(raw("keyword_present")), X.to_bool(raw("semantic_ground_truth"))
     expected, actual = X.to_bool(raw("expected_engine_match")), X.to_bool(raw("actual_engine_match"))
     mandatory = F.lower(X.strip(field("sit_extensions.keyword_requirement"))) == "mandatory"
     positive = F.col("polarity") == "Positive"
-    there = rows.groupBy(*BOTH).agg(*[F.bool_or(~X.is_empty(raw(f))).alias(f"used_{f}") for f in SCHEMA_AWARE])
-    wide = rows.join(F.broadcast(there), list(BOTH))  # at most four rows
-    parts = [
+    return [
         judged(rows, "Metadata Instance Fields", [Test("N1", f"{f} is never empty", X.is_empty(raw(f))) for f in REQUIRED] + [Test("N7", "a keyword goes with keyword_present", present != ~X.is_empty(raw("keyword")), present.isNotNull())], who, BOTH),
-        judged(wide, "Metadata Instance Fields", [Test(f"N{2 + i}", f"{f} is never empty where it is used", X.is_empty(raw(f)), F.col(f"used_{f}")) for i, f in enumerate(SCHEMA_AWARE)], who, BOTH),
         judged(rows, "8. Metadata / Engine / Chunk labels", [Test("M2", "the engine is expected to match", ~F.coalesce(expected, F.lit(False)), positive), Test("M3", "the engine does what is expected", expected != actual, (expected.isNotNull() & actual.isNotNull()), "WARN")], who, BOTH),
         judged(rows, "10. Keyword / semantic_ground_truth", [Test("W1", "semantic truth is the polarity", semantic != positive, semantic.isNotNull()), Test("W2", "mandatory keywords are there", ~present, positive & mandatory & present.isNotNull())], who, BOTH),
     ]
-    return union(parts)
+
+
+def used_fields(rows: DataFrame, among: Callable[[str], Column | None]) -> DataFrame:
+    """Fields that no instance has to have, but all if one has them; `among` tells whether one has."""
+    from corvane.plans.fields import SCHEMA_AWARE
+
+    return judged(rows, "Metadata Instance Fields", [Test(f"N{2 + i}", f"{f} is never empty where it is used", X.is_empty(raw(f)), among(f)) for i, f in enumerate(SCHEMA_AWARE)], F.concat_ws("#", "name", "pos"), BOTH)
+
+
+@rules
+def instances(t: Tables, options: Options) -> DataFrame:
+    from corvane.plans.fields import SCHEMA_AWARE
+
+    rows = sampled(t, options, t.instances)
+    there = rows.groupBy(*BOTH).agg(*[F.bool_or(~X.is_empty(raw(f))).alias(f"used_{f}") for f in SCHEMA_AWARE])
+    wide = rows.join(F.broadcast(there), list(BOTH))  # at most four rows
+    return union([*instance_parts(rows), used_fields(wide, lambda f: F.col(f"used_{f}"))])
 
 
 @rules
@@ -468,7 +480,10 @@ def snippets(t: Tables, options: Options) -> DataFrame:
 @rules
 def schema(t: Tables, options: Options) -> DataFrame:
     """Each document's names agree with each other."""
-    rows = sampled(t, options, t.metadata.where(X.is_object(F.col("v"))))
+    return document_names(sampled(t, options, t.metadata.where(X.is_object(F.col("v")))))
+
+
+def document_names(rows: DataFrame) -> DataFrame:
     f = lambda n: F.coalesce(X.strip(X.text_of(raw(n, "v"))), F.lit(""))
     end, form = F.regexp_replace(F.lower(f("file_ext")), r"^\.", ""), F.lower(f("file_format"))
     tests = [

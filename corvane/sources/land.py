@@ -66,10 +66,14 @@ class Tables:
 
     @property
     def instances(self) -> DataFrame:
-        """One row for each object in `instances` of a metadata file."""
-        items = F.try_variant_get("v", "$.instances", "array<variant>")
-        rows = self.metadata.select("folder_set", "polarity", "name", "v", F.posexplode(items).alias("pos", "i"))
-        return rows.where(X.is_object(F.col("i")))
+        return instances_of(self.metadata)
+
+
+def instances_of(metadata: DataFrame) -> DataFrame:
+    """One row for each object in `instances` of a metadata file."""
+    items = F.try_variant_get("v", "$.instances", "array<variant>")
+    rows = metadata.select("folder_set", "polarity", "name", "v", F.posexplode(items).alias("pos", "i"))
+    return rows.where(X.is_object(F.col("i")))
 
 
 def clean(text: Column) -> Column:
