@@ -165,7 +165,7 @@ family(
     + f"), positive_forms AS ({_forms('quality = 1 OR tox')}), negative_forms AS ({_forms('quality <> 1 OR tox')})",
 )
 
-_given = {"doc_id": "false", "value": "value = ''", "normalized_value": "value = ''", "value_end_offset": "false", "difficulty": "false"}
+_given = {"doc_id": "false", "value": "value = ''", "normalized_value": "norm = ''", "value_end_offset": "false", "difficulty": "false"}
 family(
     R.instances,
     tests_sql("rec", "Metadata Instance Fields", [*[("N1", f"{f} is never empty", _given.get(f, "true"), ALL, "FAIL") for f in REQUIRED], ("N7", "a keyword goes with keyword_present", "lang IS DISTINCT FROM 'en'", ALL, "FAIL")]),
