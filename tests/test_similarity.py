@@ -2,6 +2,7 @@
 
 import random
 
+from corvane.operators import similarity as M
 from corvane.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -26,3 +27,38 @@ def test_banded_pairs_of_long_texts_are_the_exact_pairs(spark, tmp_path):
     banded = {(r.id_a, r.id_b): round(r.jaccard, 6) for r in QUERIES["minhash_lsh_pairs"](spark, str(tmp_path)).collect()}
     assert len(exact) > 30 and (100, 101) in exact and min(exact.values()) < 0.85
     assert banded == exact
+
+
+def near_copies(n, size=1500):
+    """Copies of one long text, each with words of its own in a few places."""
+    rnd = random.Random(5)
+    words = [f"w{rnd.randrange(9000)}" for _ in range(size)]
+    for i in range(n):
+        own = list(words)
+        for at in rnd.sample(range(size), 5):
+            own[at] = f"own{i}x{at}"
+        yield i, " ".join(own)
+
+
+def shuffled(spark):
+    return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().executorList(False)))
+
+
+def test_exact_pairs_of_a_group_do_not_send_texts_for_each_pair(spark):
+    rows = list(near_copies(60))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    before = shuffled(spark)
+    pairs = M.similar_pairs(texts, 75)
+    assert pairs.count() == 60 * 59 // 2
+    assert shuffled(spark) - before < 10 * sum(len(t) for _, t in rows)
+
+
+def test_exact_pairs_whatever_is_known_as_frequent_and_however_pairs_are_cut(spark, monkeypatch):
+    rows = [*near_copies(25, 120), *((100 + i, " ".join(w)) for i, w in texts()), (200, "one two"), (201, "One, two"), (202, None), (None, "one two"), (203, "three")]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows if i is not None and t and (w := t.lower().replace(",", "").split())}
+    wanted = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(rows, "id long, text string")
+    for surveyed, tile in ((8000, 1 << 14), (3, 7), (1, 1)):
+        monkeypatch.setattr(M, "SURVEYED", surveyed)
+        monkeypatch.setattr(M, "TILE_PAIRS", tile)
+        assert sorted((r.id_a, r.id_b) for r in M.similar_pairs(frame, 75).collect()) == sorted(wanted)
