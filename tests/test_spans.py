@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
 from corvane.operators import spans
+from corvane.queries import QUERIES
 
 
 def plain(texts, values):
@@ -51,3 +52,15 @@ def test_a_search_without_separators_finds_what_the_pattern_finds(spark):
     wanted = F.when((F.length("value") > 0) & hit.isNotNull(), F.struct((F.instr("text", hit) - 1).alias("start"), F.length(hit).alias("length")))
     assert df.where(~X.find_span(F.col("text"), F.col("value")).eqNullSafe(wanted)).count() == 0
     assert df.where(wanted.isNotNull() & (exact == 0)).count() > 50
+
+
+def test_sentences_of_an_item_are_found_alone(spark, tmp_path):
+    docs = [(1, "Before it. The second one is here! After it."), (2, "The first one. The second one is here! A third"), (3, "Nothing."), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "The first one. The second one is here!"), (8, "Not there."), (9, ""), (10, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.item_id, r.part): (r.before, r.current, r.after) for r in QUERIES["sentence_context"](spark, str(tmp_path)).collect()}
+    second = "The second one is here!"
+    assert got == {
+        (1, 7, 2): ("Before it.", second, "After it."), (2, 7, 0): ("", "The first one.", second),
+        (2, 7, 1): ("", "The first one.", second), (2, 7, 2): ("The first one.", second, "A third"),
+    }
