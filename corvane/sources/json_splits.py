@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions import exprs as X
+from corvane.session import stored
 
 #: More splits than this in one read is an error; larger splits (spark.sql.files.maxPartitionBytes) are the way out.
 MAX_SPLITS = 100_000
@@ -353,8 +354,13 @@ def entries(found: JsonFiles, last_wins: bool = True) -> DataFrame:
     at = lambda i: F.get("key_numbers", F.lit(i))
     rows = found.pieces.where("depth > 0").select("file", "number", key(0).alias("first"), key(1).alias("second"), at(0).alias("at1"), at(1).alias("at2"), "depth", "container", F.col("text").cast("string").alias("text"))
     if last_wins:
-        firsts = rows.where("at1 is not null").groupBy("file", "first").agg(F.max("at1").alias("at1"))
-        seconds = rows.where("at2 is not null").groupBy("file", "at1", "second").agg(F.max("at2").alias("at2"))
-        rows = rows.where("at1 is null").unionByName(rows.join(firsts, ["file", "first", "at1"], "left_semi"))
-        rows = rows.where("at2 is null").unionByName(rows.join(seconds, ["file", "at1", "second", "at2"], "left_semi"))
-    return rows.drop("at1", "at2")
+        rows = stored(rows.withColumn("told", F.isnull("text")), "entries")  # files are read once for all that follows
+        keys = rows.where("told")
+        firsts = keys.where("at1 is not null and at2 is null").groupBy("file", "first").agg(F.max("at1").alias("at1"), F.count("*").alias("n"))
+        seconds = keys.where("at2 is not null").groupBy("file", "at1", "second").agg(F.max("at2").alias("at2"), F.count("*").alias("n"))
+        # Texts are shuffled only if a key does repeat.
+        if not firsts.where("n > 1").isEmpty():
+            rows = rows.where("at1 is null").unionByName(rows.join(firsts, ["file", "first", "at1"], "left_semi"))
+        if not seconds.where("n > 1").isEmpty():
+            rows = rows.where("at2 is null").unionByName(rows.join(seconds, ["file", "at1", "second", "at2"], "left_semi"))
+    return rows.drop("at1", "at2", "told")

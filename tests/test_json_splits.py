@@ -107,3 +107,13 @@ def test_splits_have_a_limit(spark, tmp_path, tiny_splits, monkeypatch):
     monkeypatch.setattr(S, "MAX_SPLITS", 3)
     with pytest.raises(ValueError, match="splits"):
         S.read(spark, [f"file://{tmp_path}"], 1)
+
+
+def test_entries_do_not_read_the_files_again(spark, tmp_path, tiny_splits):
+    (tmp_path / "i.json").write_text('{"a": {"v": {"f": [1], "g": [2]}, "w": {"f": [0]}}, "b": {"v": {"f": [4]}}}')
+    found = S.read(spark, [f"file://{tmp_path}/i.json"], 3)
+    rows = S.entries(found)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan
+    assert sorted((r["first"], r["second"], r["text"].strip()) for r in rows.collect() if r["text"]) == [("a", "v", '"f": [1]'), ("a", "v", '"g": [2]'), ("a", "w", '"f": [0]'), ("b", "v", '"f": [4]')]
+    found.release()
