@@ -62,3 +62,11 @@ def test_exact_pairs_whatever_is_known_as_frequent_and_however_pairs_are_cut(spa
         monkeypatch.setattr(M, "SURVEYED", surveyed)
         monkeypatch.setattr(M, "TILE_PAIRS", tile)
         assert sorted((r.id_a, r.id_b) for r in M.similar_pairs(frame, 75).collect()) == sorted(wanted)
+
+
+def test_banded_pairs_of_a_group_do_not_send_texts_for_each_pair(spark):
+    rows = list(near_copies(60))
+    frame = spark.createDataFrame(rows, "id long, text string")
+    before = shuffled(spark)
+    assert M.text_pairs(frame).count() == 60 * 59 // 2
+    assert shuffled(spark) - before < 10 * sum(len(t) for _, t in rows)
