@@ -16,8 +16,9 @@ Targets: sources by code point, null last, have the weights in turn and share
 over is shared among the others by weight until none is above.
 
 Only one number per source (at most MAX_SOURCES, else it fails) and no data of
-documents reach the driver. A hot source has many blocks and buckets and no task
-of its own. Each step's result depends on the rows and the seed alone.
+documents reach the driver. Joins with a row for each document, block or draw ask for
+merging, as the files of such tables are far smaller than a broadcast of their rows.
+A hot source has many blocks and buckets and no task of its own. Each step's result depends on the rows and the seed alone.
 
 Defined cases: null and empty texts have size 0 and are never taken; null is a
 source of its own. Rows that repeat an id are separate documents. An empty
@@ -206,7 +207,7 @@ def _slots(docs: DataFrame, plan: Plan, shard_slots: int) -> DataFrame:
     through = Window.partitionBy("source_number").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     before = drawn.groupBy("group", "source_number").agg(F.sum("count").alias("n"))
     before = before.select("group", "source_number", F.coalesce(F.sum("n").over(through), F.lit(0)).alias("before"))
-    numbered = drawn.join(before, ["group", "source_number"]).select("shard", "source_number", "count", "at", (F.col("before") + F.col("within")).alias("first"))
+    numbered = drawn.hint("merge").join(before, ["group", "source_number"]).select("shard", "source_number", "count", "at", (F.col("before") + F.col("within")).alias("first"))
     spare, short = np.maximum(got - plan.slots, 0), np.maximum(plan.slots - got, 0)
     spare_from, short_from = np.cumsum(spare) - spare, np.cumsum(short) - short
 
@@ -238,7 +239,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slots = _slots(docs, plan, shard_slots)
     width = F.lit(block_words)
     pieces = placed.where("size > 0").select("source_number", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width))).alias("block"))
-    both = slots.join(pieces, ["source_number", "block"])
+    both = slots.join(pieces.hint("merge"), ["source_number", "block"])
     low = F.greatest(F.col("start"), F.col("block") * width)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * width + F.col("words"))
     spans = both.where(high > low).select("source_number", "start", "size", (low - F.col("start")).alias("first"), (high - low).alias("words"), "epoch", "shard", "slot")
@@ -251,7 +252,7 @@ def per_document(mixed: Mix, id_col: str = "doc_id") -> DataFrame:
     taken = mixed.spans.groupBy("source_number", "start").agg(F.sum("words").alias("taken"))
     facts = pd.DataFrame({"source_number": np.arange(len(plan.sources), dtype=np.int64), "source_size": plan.size, "target": plan.target})
     sources = spark.createDataFrame(facts, "source_number long, source_size long, target double") if len(facts) else spark.createDataFrame([], "source_number long, source_size long, target double")
-    found = mixed.documents.where("size > 0").join(taken, ["source_number", "start"], "left").unionByName(mixed.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    found = mixed.documents.where("size > 0").join(taken.hint("merge"), ["source_number", "start"], "left").unionByName(mixed.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return found.join(F.broadcast(sources), "source_number").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 

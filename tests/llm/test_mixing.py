@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -106,3 +107,12 @@ def test_extra_names_repeated_rows_and_a_very_long_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _taken int, size int")
     got = mixed_documents(df).collect()
     assert {tuple(r)[3:] for r in got} <= {(1, 2), (3, 4)} and words(" ".join(r.text for r in got)) == round(1.5 * 200_006)
+
+
+def test_no_table_with_a_row_for_each_document_block_or_draw_is_broadcast(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    broadcast = lambda frame: re.findall(r"BroadcastExchange[^\n]*", frame._jdf.queryExecution().executedPlan().toString())
+    mixed = mix(df, block_words=16, shard_slots=32)
+    assert mixed.spans.count() and broadcast(mixed.spans) == []
+    found = per_document(mixed)
+    assert found.count() == len(corpus()) and all("input[0, bigint, false]" in x for x in broadcast(found))  # sources alone
