@@ -268,18 +268,18 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spans = mixed.spans.groupBy("source_number", "start", "epoch").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("spans"))
         epochs = spans.groupBy("source_number", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "taken", "spans"))).alias("epochs"))
         free_shuffles(spark)
-        keys = materialize(mixed.documents.where("size > 0").join(epochs, ["source_number", "start"]).select("id", "source", "text_hash", "copy", "size", "epochs"), "keys")
+        keys = materialize(mixed.documents.where("size > 0").join(epochs.hint("merge"), ["source_number", "start"]).select("id", "source", "text_hash", "copy", "size", "epochs"), "keys")
         again = materialize(keys.where("copy > 1").select("id", "source", "text_hash").distinct(), "again")
         stay += [keys, again]
     same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["text_hash"] == y["text_hash"]) & x["source"].eqNullSafe(y["source"])
     rows = docs.select(packed(docs, (text_col,)).alias("row"), named(docs, text_col).alias("text"), named(docs, id_col).alias("id"), F.xxhash64(named(docs, text_col)).alias("text_hash"), named(docs, source_col).cast("string").alias("source"))
     took = ["row", "text", "size", "epochs"]
     if again.isEmpty():
-        joined = rows.join(keys, same(rows, keys)).select(*took)
+        joined = rows.join(keys.hint("merge"), same(rows, keys)).select(*took)
     else:  # which of the rows that agree in id, text and source is which copy
         turn = F.row_number().over(Window.partitionBy("id", "text_hash", "source").orderBy(F.lit(1)))
-        once, copies = rows.join(again, same(rows, again), "left_anti"), rows.join(again, same(rows, again), "left_semi").withColumn("turn", turn)
-        joined = once.join(keys, same(once, keys)).select(*took).unionByName(copies.join(keys, same(copies, keys) & (copies["turn"] == keys["copy"])).select(*took))
+        once, copies = rows.join(again.hint("merge"), same(rows, again), "left_anti"), rows.join(again.hint("merge"), same(rows, again), "left_semi").withColumn("turn", turn)
+        joined = once.join(keys.hint("merge"), same(once, keys)).select(*took).unionByName(copies.join(keys.hint("merge"), same(copies, keys) & (copies["turn"] == keys["copy"])).select(*took))
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"[^{SPACE_CLASS}]+[{SPACE_CLASS}]*"), F.lit(0))
     joined = joined.select("row", "text", "size", F.explode("epochs").alias("epoch"))
     held = F.struct(words.alias("words"), F.col("epoch.spans").alias("spans"))

@@ -116,3 +116,4 @@ def test_no_table_with_a_row_for_each_document_block_or_draw_is_broadcast(spark)
     assert mixed.spans.count() and broadcast(mixed.spans) == []
     found = per_document(mixed)
     assert found.count() == len(corpus()) and all("input[0, bigint, false]" in x for x in broadcast(found))  # sources alone
+    assert broadcast(mixed_documents(df, block_words=16, shard_slots=32)) == []
