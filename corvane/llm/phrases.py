@@ -8,7 +8,8 @@ never holds less than one of its n-grams has, so that an n-gram with a cell with
 bit is surely rare. The first sketch has words and pairs, the second has
 longer n-grams whose pairs all survive the first. A last pass counts the survivors,
 and only them, exactly by their text. So a sketch that is too narrow costs time,
-never a phrase: cells should outnumber the n-grams of the corpus over `least`.
+never a phrase: cells should outnumber the n-grams of the corpus over `least`. Their
+number grows with the text, up to MOST_CELLS.
 
 Scores, and what a longer phrase subsumes, are exact (decimals of 38 digits).
 
@@ -36,8 +37,9 @@ LONGEST = 4
 LEAST = 30
 SUBSUMED_PERCENT = 80
 TOP = 2000
-#: Cells of a sketch row (a power of two), and rows of a sketch. Its bits, of which all tasks get a copy, take CELLS * ROWS / 8 bytes.
-CELLS, ROWS = 1 << 23, 2
+#: Cells of a sketch row (a power of two) at least and at most, bytes of text for each between, and rows of a sketch. A task fills a byte
+#: for each cell and row; bits, of which all tasks get a copy, take an eighth of that.
+CELLS, MOST_CELLS, CELL_BYTES, ROWS = 1 << 23, 1 << 27, 24, 2
 #: Cells that travel in one row when sketches are merged.
 SEGMENT = 4096
 #: Tasks for each core that fill a sketch or count survivors.
@@ -177,27 +179,30 @@ def _sketch(grams_of, least: int, cells: int, rows: int, block: int):
     """A function for mapInArrow: one sketch of a task's n-grams, in segments."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(rows * cells, np.uint32)
+        sketch = np.zeros(rows * cells, np.min_scalar_type(2 * least))
         for lang, words, carried in _blocks(batches, block):
             for keys in grams_of(_Grams(lang, words, carried)):
                 for row in range(rows):
-                    np.add.at(sketch[row * cells : (row + 1) * cells], _cells(keys, row, cells), np.uint32(1))
-        kind = np.min_scalar_type(least)
+                    at, times = np.unique(_cells(keys, row, cells), return_counts=True)
+                    at += np.uint64(row * cells)
+                    sketch[at] = np.minimum(sketch[at] + np.minimum(times, least), least)
         for start in range(0, len(sketch), 256 * SEGMENT):
-            part = np.minimum(sketch[start : start + 256 * SEGMENT], least).astype(kind).reshape(-1, min(SEGMENT, cells))
+            part = sketch[start : start + 256 * SEGMENT].reshape(-1, min(SEGMENT, cells))
             used = [i for i in range(len(part)) if part[i].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([start // part.shape[1] + i for i in used], pa.int32()), pa.array([part[i].tobytes() for i in used], pa.binary())], ["segment", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([start // part.shape[1] + i for i in used], pa.int32()), pa.array([pa.compress(part[i].tobytes(), "zstd", asbytes=True) for i in used], pa.binary())], ["segment", "cells"])
 
     return fill
 
 
-def _merge(least: int):
+def _merge(least: int, cells: int):
+    width = min(SEGMENT, cells)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, sums = np.min_scalar_type(least), {}
+        kind, sums = np.min_scalar_type(2 * least), {}
         for batch in batches:
-            for segment, cells in zip(batch.column("segment").to_pylist(), batch.column("cells"), strict=True):
-                part = np.frombuffer(cells.as_buffer(), kind)
-                sums[segment] = part.astype(np.uint32) if segment not in sums else np.minimum(sums[segment] + part, least)
+            for segment, packed in zip(batch.column("segment").to_pylist(), batch.column("cells"), strict=True):
+                part = np.frombuffer(pa.decompress(packed.as_buffer(), width * np.dtype(kind).itemsize, "zstd"), kind)
+                sums[segment] = part if segment not in sums else np.minimum(sums[segment] + part, kind.type(least))
         found = {k: np.packbits(v >= least).tobytes() for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int32()), pa.array(found.values(), pa.binary())], ["segment", "bits"])
 
@@ -213,7 +218,7 @@ def _frequent(texts: DataFrame, grams_of, least: int, cells: int, rows: int, blo
     """The merged sketch, as a broadcast of its bits: a size that is set by cells and rows."""
     spark = texts.sparkSession
     filled = _few(texts).mapInArrow(_sketch(grams_of, least, cells, rows, block), "segment int, cells binary")
-    merged = filled.repartition("segment").mapInArrow(_merge(least), "segment int, bits binary")
+    merged = filled.repartition("segment").mapInArrow(_merge(least, cells), "segment int, bits binary")
     bits, width = np.zeros(rows * cells // 8, np.uint8), min(SEGMENT, cells) // 8
     for segment, part in merged.collect():
         bits[segment * width : (segment + 1) * width] = np.frombuffer(part, np.uint8)
@@ -255,11 +260,17 @@ def _count(short, long, cells: int, block: int):
     return count
 
 
-def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cells: int = CELLS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def cells_for(size: int) -> int:
+    """Cells of a sketch row for texts of so many bytes."""
+    return min(MOST_CELLS, max(CELLS, 1 << (size // CELL_BYTES).bit_length()))
+
+
+def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, cells: int | None = None, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(lang, size, phrase, n) of the n-grams of 1 to LONGEST words with n >= least, and of all words of a language under size 0."""
-    if cells & (cells - 1) or cells < 8:
+    if cells is not None and (cells & (cells - 1) or cells < 8):
         raise ValueError("cells must be a power of two, 8 at least")
     texts = docs.select(named(docs, text).cast("string").alias("text"), F.coalesce(named(docs, lang).cast("string"), F.lit("und")).alias("lang"))
+    cells = cells or cells_for(texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
 
     short = _frequent(texts, lambda grams: (grams.keys(grams.new(grams.starts(n), n), n) for n in (1, 2)), least, cells, rows, block)
 
@@ -308,7 +319,7 @@ def standing(phrases: DataFrame, percent: int = SUBSUMED_PERCENT) -> DataFrame:
     return phrases.join(gone.select("lang", "phrase"), ["lang", "phrase"], "left_anti")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, least: int = LEAST, cells: int = CELLS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, least: int = LEAST, cells: int | None = None, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language."""
     counts = ngram_counts(docs, text, lang, least, cells, rows, block)
     phrases = materialize(scored(counts), "scored")

@@ -2,8 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from corvane.llm import phrases
 from corvane.llm.phrases import collocations
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -81,3 +84,22 @@ def test_scores_beyond_64_bits(spark):
     assert got["x y"] == 2_000_000 * (big - 7) // (2 * big)
     assert got["x y z"] == 2_000_000 * (big // 10 * 8) // (2 * big)
     assert {r["phrase"] for r in standing(scored(counts)).collect()} == {"x y z"}
+
+
+def test_sketches_grow_with_the_text():
+    assert phrases.cells_for(0) == phrases.CELLS
+    for size in (840_000_000, 5_000_000_000):  # so many occurrences of words and pairs are in three times as many bytes
+        assert size / 3 / phrases.cells_for(size) < phrases.LEAST / 2
+    assert phrases.cells_for(10**12) == phrases.MOST_CELLS
+
+
+def test_cells_stop_without_running_over():
+    words = [b"a"] * 100_000 + [b"b"] * 29
+    grams = phrases._Grams("en", words, 0)
+    batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(words).decode()] * 3), pa.array(["en"] * 3)], ["text", "lang"])
+    filled = list(phrases._sketch(lambda g: [g.keys(g.starts(1), 1)], 30, 1 << 12, 1, 1 << 20)(iter([batch])))
+    merged = next(phrases._merge(30, 1 << 12)(iter(filled * 2)))
+    bits = np.zeros(1 << 9, np.uint8)
+    for segment, part in zip(merged.column("segment").to_pylist(), merged.column("bits").to_pylist()):
+        bits[segment * 512 : (segment + 1) * 512] = np.frombuffer(part, np.uint8)
+    assert phrases._Frequent(bits, 1 << 12).holds(grams.keys(grams.starts(1), 1)).all()
